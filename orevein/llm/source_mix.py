@@ -67,7 +67,8 @@ def _cuts(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """``skey, cut, rest, at_cut``: hashes below ``cut`` are taken, those at it share ``rest`` of their ``at_cut`` words."""
     found = plan.filter("need > 0").select("skey", F.lit("").alias("step"), "need")
     for digits in (2, 4, 32):
-        inside = rows.join(found, (rows["skey"] == found["skey"]) & rows["hkey"].startswith(found["step"])).drop(found["skey"])
+        at = found.withColumnRenamed("skey", "at_key")
+        inside = rows.join(at, (F.col("skey") == F.col("at_key")) & F.col("hkey").startswith(F.col("step")))
         sums = inside.groupBy("skey", "need", F.substring("hkey", 1, digits).alias("p")).agg(F.sum("size").alias("words"))
         crossed = _crossing(sums, F.col("p"))
         found = crossed.select("skey", "step", "need")
