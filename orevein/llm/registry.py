@@ -11,6 +11,8 @@ MODULES = [
     "exact_dedup",
     "source_mix",
     "url_rules",
+    "langid",
+    "quality",
 ]
 
 
