@@ -13,6 +13,7 @@ MODULES = [
     "url_rules",
     "langid",
     "quality",
+    "bpe",
 ]
 
 
