@@ -14,6 +14,7 @@ MODULES = [
     "langid",
     "quality",
     "bpe",
+    "near_dedup",
 ]
 
 
