@@ -15,6 +15,7 @@ MODULES = [
     "quality",
     "bpe",
     "near_dedup",
+    "lattice",
 ]
 
 
