@@ -108,7 +108,9 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for first, last, hashes, offsets, keys in _prepared(batch):
             doc, h, _ = weighted(*words.shingles(hashes, offsets, SHINGLE))
             bounds = np.searchsorted(doc, np.arange(last - first + 1))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), words.list_array(h.astype(np.int64), bounds, pa.int64())], names=["item", "grams"])
+            every = pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), words.list_array(h.astype(np.int64), bounds, pa.int64())], names=["item", "grams"])
+            asked = batch.column("wanted").slice(first, last - first).to_pylist()
+            yield every.filter(pa.array([k in w for k, w in zip(every.column("item").to_pylist(), asked, strict=True)], pa.bool_()))
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -125,7 +127,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     shared = materialize(shared_buckets(rows.select("text").mapInArrow(_buckets, "bucket long, item long")), "buckets")
     items = shared.select("item").distinct()
     owners = keys.join(items, "item", "left_semi").groupBy("item").agg(F.min("doc_id").alias("doc_id"))
-    grams = fetch_grams(rows, owners, _grams, items)
+    grams = fetch_grams(rows, owners, _grams)
     classes = link_classes(shared, grams, similarity)
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     contents = keys.filter("item <> 0").groupBy("item").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n"))

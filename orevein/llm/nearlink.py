@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orevein.llm.components import connected_components
-from orevein.session import discard, materialize
+from orevein.session import materialize
 
 STAR_ROUNDS = 3
 
@@ -74,15 +74,12 @@ def _verified(pairs: DataFrame, grams: DataFrame, similarity: float) -> DataFram
     return both.withColumn("n", common).filter(F.col("n") * 1000 >= (F.size("ga") + F.size("gb") - F.col("n")) * need).select("a", "b")
 
 
-def fetch_grams(docs: DataFrame, owners: DataFrame, extract: Callable, items: DataFrame) -> DataFrame:
-    """``item, grams`` of ``items``: texts of the rows whose ``doc_id`` is in ``owners``, extracted again, one row an item.
+def fetch_grams(docs: DataFrame, owners: DataFrame, extract: Callable) -> DataFrame:
+    """``item, grams`` of the items in ``owners`` (``doc_id, item``), extracted again from the texts of those documents.
 
-    ``extract`` maps batches of ``text`` to batches of ``item, grams``.
+    ``extract`` maps batches of ``text, wanted`` (the document's items asked for) to batches of ``item, grams``.
     """
-    texts = docs.select("doc_id", "text").join(owners.select(F.col("doc_id").alias("__own")).distinct(), F.col("doc_id").eqNullSafe(F.col("__own")), "left_semi")
-    rows = texts.select("text").mapInArrow(extract, "item long, grams array<long>")
-    wanted = rows.join(items.select("item").distinct(), "item", "left_semi")
-    return materialize(wanted.groupBy("item").agg(F.any_value("grams").alias("grams")), "grams")
-
-
-__all__ = ["discard", "fetch_grams", "link_classes", "shared_buckets"]
+    wanted = owners.groupBy(F.col("doc_id").alias("__own")).agg(F.collect_list("item").alias("wanted"))
+    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("__own")))
+    rows = texts.select("text", "wanted").mapInArrow(extract, "item long, grams array<long>")
+    return materialize(rows.dropDuplicates(["item"]), "grams")

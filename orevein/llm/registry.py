@@ -16,6 +16,7 @@ MODULES = [
     "bpe",
     "near_dedup",
     "lattice",
+    "paragraph_dedup",
 ]
 
 
