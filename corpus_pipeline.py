@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orevein.llm import exact_dedup, source_mix
+from orevein.llm import bpe, exact_dedup, near_dedup, quality, source_mix
 from orevein.session import load, materialize
 
 
