@@ -17,6 +17,7 @@ MODULES = [
     "near_dedup",
     "lattice",
     "paragraph_dedup",
+    "suffix_dedup",
 ]
 
 
