@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,12 +57,25 @@ def discard(*frames: DataFrame) -> None:
             target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once an application: their Python need not have it installed."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    top = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="orevein-code-")) / "orevein.zip"
+    with zipfile.ZipFile(target, "w") as out:
+        for file in sorted(top.rglob("*.py")):
+            out.write(file, Path(top.name) / file.relative_to(top))
+    context.addPyFile(str(target))
+    _shipped.add(context.applicationId)
+
+
 def load(spark: SparkSession, sf_dir: str, *names: str):
     """The named Parquet tables under ``sf_dir``; one name gives a DataFrame, several a tuple."""
+    ship(spark)
     frames = tuple(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet") for name in names)
     return frames if len(frames) > 1 else frames[0]
-
-
-def default_tmp() -> str:
-    """Task-local scratch folder."""
-    return os.environ.get("TMPDIR", tempfile.gettempdir())
