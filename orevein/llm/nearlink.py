@@ -1,29 +1,35 @@
 """Links and classes of similar items that share a bucket, without emitting all pairs of a bucket.
 
-Buckets come as rows ``bucket, item`` (an item is the hash of a distinct content, so copies fold in
-the first aggregate). Pairs are tried in rounds. In the first rounds each bucket proposes a centre, and
-each of its items is compared with that centre only: linear in the bucket. A last round compares what
-is left: items of one bucket that are still in different classes. Items of one class need no further
-comparison, since only classes are asked for, so no link between classes is lost among those that collide.
+Buckets come as rows ``bucket, item`` (an item is the hash of a distinct content, so copies fold in the
+first aggregate). Each item that shares a bucket gets a signature of ``SIGNATURE`` MinHash values of its
+grams. Within a bucket signatures are compared as matrices, and only pairs whose estimate is at least
+``CUT`` (for similarity 0.8 all but about 0.1 %) may leave the task:
+
+* first a spanning forest of the strongest pairs, so one row an item whatever the bucket holds;
+* then, once those are verified and classes are known, the pairs that still lie in different classes,
+  each from the first of the buckets that it shares.
+
+Items of one class need no further comparison, since classes are what is asked for. Buckets of more than
+``BLOCK`` items are cut into blocks, and each pair of blocks is a group of its own.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orevein.llm import words
 from orevein.llm.components import connected_components
 from orevein.session import materialize
 
-STAR_ROUNDS = 3
-
-
-def _with_class(rows: DataFrame, classes: DataFrame | None) -> DataFrame:
-    if classes is None:
-        return rows.withColumn("class", F.col("item"))
-    return rows.join(classes, "item", "left").withColumn("class", F.coalesce("component", "item")).drop("component")
+SIGNATURE = 256
+CUT = 0.72
+BLOCK = 512
+_FACTORS = words.mix(np.arange(101, 101 + SIGNATURE, dtype=np.uint64)) | np.uint64(1)
 
 
 def shared_buckets(rows: DataFrame) -> DataFrame:
@@ -32,46 +38,125 @@ def shared_buckets(rows: DataFrame) -> DataFrame:
     return rows.join(several, "bucket").select("bucket", "item").distinct()
 
 
-def link_classes(shared: DataFrame, grams: DataFrame, similarity: float, star_rounds: int = STAR_ROUNDS) -> DataFrame:
-    """``item, component`` of all items with a link; ``grams`` holds ``item, grams`` (distinct shingle hashes) of the shared items.
+def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """16 bits of each MinHash value of the grams."""
+    for batch in batches:
+        grams = batch.column("grams")
+        values = grams.flatten().to_numpy(zero_copy_only=False).astype(np.uint64)
+        offsets = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(grams).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        if not batch.num_rows:
+            continue
+        low = np.stack([words.mix(np.minimum.reduceat(values * f, offsets[:-1])) >> np.uint64(48) for f in _FACTORS], axis=1).astype("<u2")
+        yield pa.RecordBatch.from_arrays([batch.column("item"), pa.array([row.tobytes() for row in low], pa.binary())], names=["item", "signature"])
+
+
+def _forest(alike: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """Edges of a maximum spanning forest over pairs of at least ``least``."""
+    n = len(alike)
+    edges, left = [], np.ones(n, bool)
+    best, parent = np.full(n, -1), np.zeros(n, np.int64)
+    for _ in range(n):
+        i = int(np.where(left, best, -2).argmax())
+        if best[i] >= least:
+            edges.append((int(parent[i]), i))
+        left[i] = False
+        closer = alike[i] > best
+        best[closer], parent[closer] = alike[i][closer], i
+    return edges
+
+
+def _pairs_in(table: pa.Table, final: bool) -> list[tuple[int, int]]:
+    """Pairs of one bucket, or of one pair of its blocks."""
+    item, block, of_class = table["item"].to_numpy(), table["block"].to_numpy(), table["class"].to_numpy()
+    signature = np.frombuffer(b"".join(table["signature"].to_pylist()), "<u2").reshape(len(item), SIGNATURE)
+    x, y, least = table["x"][0].as_py(), table["y"][0].as_py(), round(CUT * SIGNATURE)
+    left = np.flatnonzero(block == x)
+    right = left if x == y else np.flatnonzero(block == y)
+    if not len(left) or not len(right):
+        return []
+    alike = np.stack([(signature[i] == signature[right]).sum(axis=1) for i in left])
+    if final:
+        wanted = (alike >= least) & (of_class[left][:, None] != of_class[right][None]) & ((left[:, None] < right[None]) | (x != y))
+        found = [(left[a], right[b]) for a, b in zip(*np.nonzero(wanted), strict=True)]
+        if found:
+            here, every = table["bucket"][0].as_py(), list(map(set, table["buckets"].to_pylist()))
+            found = [(a, b) for a, b in found if min(every[a] & every[b]) == here]
+    elif x == y:
+        found = [(left[a], left[b]) for a, b in _forest(alike, least)]
+    else:
+        a, b = np.unravel_index(alike.argmax(), alike.shape)
+        found = [(left[a], right[b])] if alike[a, b] >= least else []
+    return [(int(min(item[a], item[b])), int(max(item[a], item[b]))) for a, b in found]
+
+
+def _pairs(final: bool):
+    """Pairs of the groups ``bucket, x, y`` in batches sorted by those."""
+
+    def finish(table: pa.Table, cuts: list[int]) -> Iterator[pa.RecordBatch]:
+        found = {p for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b - a > 1 for p in _pairs_in(table.slice(a, b - a), final)}
+        if found:
+            a, b = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = (pa.concat_tables([held, table]) if held is not None else table).combine_chunks()
+            cuts = _cuts(table)
+            held = table.slice(cuts[-1])
+            yield from finish(table, cuts)
+        if held is not None:
+            yield from finish(held, [0, held.num_rows])
+
+    return run
+
+
+def _cuts(table: pa.Table) -> list[int]:
+    new = np.zeros(table.num_rows, bool)
+    new[0] = True
+    for name in ("bucket", "x", "y"):
+        v = table[name].to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    return np.flatnonzero(new).tolist()
+
+
+def _candidates(rows: DataFrame, final: bool) -> DataFrame:
+    """Distinct pairs ``a < b`` of ``bucket, item, class, signature, buckets``."""
+    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("class").alias("lo"), F.max("class").alias("hi"))
+    sizes = sizes.filter("lo < hi").select("bucket", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    cut = rows.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("item", "bucket"), F.col("blocks")).cast("int"))
+    spread = cut.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    keys = ["bucket", "x", "y"]
+    spread = spread.select("bucket", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"), "block", "item", "class", "signature", "buckets")
+    return spread.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_pairs(final), "a long, b long").distinct()
+
+
+def link_classes(shared: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
+    """``item, component`` of the items with a link (but the smallest of each class); ``grams`` holds ``item, grams`` of the shared items.
 
     Two items are linked if the Jaccard similarity of their gram sets is at least ``similarity``.
     """
-    links = classes = None
-    tried = None
-    for turn in range(star_rounds + 1):
-        rows = _with_class(shared, classes)
-        mixed = rows.groupBy("bucket").agg(
-            F.min("class").alias("lo"), F.max("class").alias("hi"), F.min(F.struct(F.xxhash64(F.col("item"), F.lit(turn)).alias("h"), "item", "class")).alias("c")
-        ).filter("lo < hi")
-        if turn < star_rounds:
-            pairs = rows.join(mixed.select("bucket", F.col("c.item").alias("centre"), F.col("c.class").alias("centre_class")), "bucket").filter("class <> centre_class")
-            pairs = pairs.select(F.least("item", "centre").alias("a"), F.greatest("item", "centre").alias("b"))
-        else:
-            open_ = materialize(rows.join(mixed.select("bucket"), "bucket").select("bucket", "item", "class"), "open")
-            other = open_.select("bucket", F.col("item").alias("b"), F.col("class").alias("other"))
-            pairs = open_.join(other, "bucket").filter("class < other").select(F.least("item", "b").alias("a"), F.greatest("item", "b").alias("b"))
-        pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        found = materialize(_verified(pairs, grams, similarity), "links")
-        n = found.count()
-        tried = pairs if tried is None else tried.union(pairs)
-        links = found if links is None else links.union(found)
-        if n:
-            classes = connected_components(links)
-    return classes if classes is not None else connected_components(links)
+    known = shared.groupBy("item").agg(F.collect_list("bucket").alias("buckets")).join(grams.mapInArrow(_sign, "item long, signature binary"), "item")
+    signed = materialize(shared.join(known, "item"), "signed")
+    strong = materialize(_candidates(signed.withColumn("class", F.col("item")), final=False), "pairs")
+    links = materialize(_verified(strong, grams, similarity), "links")
+    classes = connected_components(links)
+    classed = signed.join(classes, "item", "left").withColumn("class", F.coalesce("component", "item")).drop("component")
+    rest = materialize(_candidates(classed, final=True).join(strong, ["a", "b"], "left_anti"), "pairs")
+    more = materialize(_verified(rest, grams, similarity), "links")
+    return connected_components(links.union(more)) if more.take(1) else classes
 
 
 def _verified(pairs: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
     left = grams.select(F.col("item").alias("a"), F.col("grams").alias("ga"))
     right = grams.select(F.col("item").alias("b"), F.col("grams").alias("gb"))
-    both = pairs.join(left, "a").join(right, "b")
-    common = F.size(F.array_intersect("ga", "gb"))
+    both = pairs.join(left, "a").join(right, "b").withColumn("n", F.size(F.array_intersect("ga", "gb")))
     # in integers, so that a similarity of just the threshold isn't lost to rounding
     need = round(similarity * 1000)
-    return both.withColumn("n", common).filter(F.col("n") * 1000 >= (F.size("ga") + F.size("gb") - F.col("n")) * need).select("a", "b")
+    return both.filter(F.col("n") * 1000 >= (F.size("ga") + F.size("gb") - F.col("n")) * need).select("a", "b")
 
 
 def fetch_grams(docs: DataFrame, owners: DataFrame, extract: Callable) -> DataFrame:
