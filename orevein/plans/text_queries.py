@@ -147,7 +147,7 @@ def person_boost(spark, sf_dir):
     return fusion.boosted(_named(spark), no, no, no, F.col("f1"), F.col("is_record")).select("query_id", "id", F.round("rrf_score", 6).alias("rrf_score"))
 
 
-LITERALS = [(1, "born on 14th October 1985?", "date:14th October 1985"), (2, "March 3, 2001 or 3/4/99", "date:March 3, 2001, date:3/4/99"), (3, "assets of Rs. 76.4 lakh", "money:Rs. 76.4 lakh"), (4, "about 12 percent of 3.25", "percent:12 percent, decimal:3.25"), (5, "in 1999 and 2012", "year:1999, year:2012"), (6, "nothing here", "none"), (7, "candidate for North Hill", "seat:North Hill"), (8, "candidates from North Hill district", "none"), (9, "45/13/2020", "none")]
+LITERALS = [(1, "born on 14th October 1985?", "date:14th October 1985"), (2, "March 3, 2001 or 3/4/99", "date:March 3, 2001, date:3/4/99"), (3, "assets of Rs. 76.4 lakh", "money:Rs. 76.4 lakh"), (4, "about 12 percent of 3.25", "percent:12 percent, decimal:3.25"), (5, "in 1999 and 2012", "year:1999, year:2012"), (6, "nothing here", "none"), (7, "candidate for North Hill", "seat:North Hill"), (8, "candidates from North Hill district", "none"), (9, "45/13/2020", "year:2020")]
 
 
 @query("extract_literals", f"SELECT id, found FROM (VALUES {_values(LITERALS)}) t(id, q, found)")
