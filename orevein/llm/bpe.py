@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from orevein.session import load
 
 VOCABULARY = "word_bpe_49k.json"
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 
 
 def _byte_letters() -> list[str]:
@@ -176,7 +176,7 @@ def default_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
-def _groups(texts: pa.Array, size: int = 1 << 21):
+def _groups(texts: pa.Array, size: int = 1 << 20):
     """Lists of texts of about ``size`` characters together."""
     group, held = [], 0
     for t in texts:
