@@ -57,6 +57,7 @@ def discard(*frames: DataFrame) -> None:
             target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _shipped: set[str] = set()
 
 
@@ -65,6 +66,8 @@ def ship(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
+    if spark.conf.get(BATCH_BYTES, None) is None:  # texts are long: bound what a Python worker holds at once
+        spark.conf.set(BATCH_BYTES, "8m")
     top = Path(__file__).resolve().parent
     target = Path(tempfile.mkdtemp(prefix="orevein-code-")) / "orevein.zip"
     with zipfile.ZipFile(target, "w") as out:
