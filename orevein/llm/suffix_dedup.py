@@ -34,9 +34,9 @@ from orevein.llm import words
 from orevein.session import load, materialize
 
 LENGTH = 100
-K = 24
+K = 40
 HOT = 500
-COLLECTION = 1 << 21
+COLLECTION = 1 << 18
 CHUNK = 1 << 19
 _WINDOW = LENGTH - K + 1
 _PLACE = np.uint64((1 << 21) - 1)
@@ -121,17 +121,26 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Column:
-    """A file of numbers that is read and written in sequence; a round's result replaces it."""
+    """A pair of files of 16-bit numbers: each round reads one in sequence and writes the other, which then takes its place."""
 
-    def __init__(self, folder: str, name: str, kind: str):
-        self.path, self.kind = os.path.join(folder, name), kind
+    def __init__(self, folder: str, name: str):
+        self.old, self.new = (open(os.path.join(folder, f"{name}{i}"), "w+b", buffering=0) for i in range(2))
+        self.n = 0
 
     def read(self) -> np.ndarray:
-        return np.fromfile(self.path, self.kind)
+        self.old.seek(0)
+        return np.frombuffer(self.old.read(2 * self.n), "<u2")
 
     def write(self, values: np.ndarray) -> None:
-        values.astype(self.kind, copy=False).tofile(self.path + ".new")
-        os.replace(self.path + ".new", self.path)
+        self.new.seek(0)
+        rest = memoryview(np.ascontiguousarray(values, "<u2")).cast("B")
+        while len(rest):
+            rest = rest[self.new.write(rest) :]
+        self.old, self.new, self.n = self.new, self.old, len(values)
+
+    def close(self) -> None:
+        self.old.close()
+        self.new.close()
 
 
 def _merged(old: np.ndarray, at: np.ndarray, new: np.ndarray, rest: np.ndarray) -> np.ndarray:
@@ -145,8 +154,11 @@ def _range_min(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndar
     """Minimum of ``values[low:high]`` for each pair; ``low < high <= len(values)``."""
     if not len(low):
         return np.zeros(0, values.dtype)
+    order = np.argsort(low)  # in sequence, so that what lies between two ranges is short
     padded = np.append(values, values[-1:])
-    return np.minimum.reduceat(padded, np.column_stack([low, high]).ravel())[::2]
+    out = np.empty(len(low), values.dtype)
+    out[order] = np.minimum.reduceat(padded, np.column_stack([low[order], high[order]]).ravel())[::2]
+    return out
 
 
 def column_wise(raw: np.ndarray, ends: np.ndarray, folder: str) -> tuple[np.ndarray, np.ndarray]:
@@ -157,7 +169,7 @@ def column_wise(raw: np.ndarray, ends: np.ndarray, folder: str) -> tuple[np.ndar
     its neighbours are one more than the least common prefix up to the next occurrence of the symbol either way.
     """
     m, length = len(ends) - 1, np.diff(ends)
-    transform, prefixes = _Column(folder, "transform", "<u2"), _Column(folder, "prefixes", "<u2")
+    transform, prefixes = _Column(folder, "transform"), _Column(folder, "prefixes")
     code = lambda i, j: np.where(length[i] >= j, raw[np.maximum(ends[1:][i] - j, 0)].astype(np.uint16) + 1, 0).astype(np.uint16)
     transform.write(code(np.arange(m), 1))
     prefixes.write(np.zeros(m, np.uint16))
@@ -185,7 +197,10 @@ def column_wise(raw: np.ndarray, ends: np.ndarray, folder: str) -> tuple[np.ndar
         lcp[at[follows] + 1] = down[follows]
         prefixes.write(lcp)
         place = at
-    return transform.read(), prefixes.read()
+    out = transform.read(), prefixes.read()
+    transform.close()
+    prefixes.close()
+    return out
 
 
 def repeated_starts(raw: np.ndarray, ends: np.ndarray, num: np.ndarray, at: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
