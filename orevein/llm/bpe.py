@@ -23,10 +23,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orevein.llm import words
 from orevein.session import load
 
 VOCABULARY = "word_bpe_49k.json"
-CACHE_WORDS = 150_000
+CACHE_WORDS = 200_000
 
 
 def _byte_letters() -> list[str]:
@@ -188,6 +189,7 @@ def _groups(texts: pa.Array, size: int = 1 << 20):
             group, held = [], 0
     if group:
         yield group
+    words.trim()
 
 
 def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", out_col: str = "ids") -> DataFrame:

@@ -110,6 +110,7 @@ def _pairs(final: bool):
             yield from finish(table, cuts)
         if held is not None:
             yield from finish(held, [0, held.num_rows])
+        words.trim()
 
     return run
 

@@ -7,6 +7,7 @@ cut into slices of about ``SLICE`` bytes (a longer text is a slice of its own),
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -60,6 +61,14 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, ends - ends[0]
 
 
+def trim() -> None:
+    """Give freed memory back to the system: a worker serves tasks of many kinds, and an executor counts what all of them hold."""
+    pa.default_memory_pool().release_unused()
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if release:
+        release(0)
+
+
 def slices(texts: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """``first, last, bytes, offsets`` of consecutive texts of about ``size`` bytes together."""
     raw, ends = buffers(texts)
@@ -68,6 +77,7 @@ def slices(texts: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int, np.nd
         last = max(first + 1, int(np.searchsorted(ends, ends[first] + size, side="right")) - 1)
         yield first, last, raw[ends[first] : ends[last]], ends[first : last + 1] - ends[first]
         first = last
+    trim()
 
 
 def word_spans(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
