@@ -25,12 +25,17 @@ def get_session(app: str = "orevein", master: str | None = None, **conf: str) ->
     return builder.getOrCreate()
 
 
+_own_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="orevein-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        application = spark.sparkContext.applicationId
+        if application not in _own_dirs:
+            _own_dirs[application] = "file://" + tempfile.mkdtemp(prefix="orevein-")
+        folder = _own_dirs[application]
     return folder.rstrip("/")
 
 
