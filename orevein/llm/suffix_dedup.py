@@ -10,8 +10,9 @@ starts that share one minimiser, and only pieces with the same minimiser can hol
    Burrows-Wheeler transform and common prefixes grow by one symbol of every piece a round, right to left,
    each round reading the two files of the round before in sequence and writing the next. Intervals of
    common prefixes of ``LENGTH`` or more are groups of equal strings; the one that starts first stays.
-   Minimisers with more than ``HOT`` different pieces (the edges of a passage that very many documents
-   share) are split by string: their strings are grouped by a hash of 128 bits, combined before the shuffle.
+   Up to ``HOT`` different pieces of a minimiser (3 MB, some ten seconds) are one task's. Minimisers with
+   more (the edges of a passage that very many documents share) are split by string: their strings are
+   grouped by a hash of 128 bits, combined before the shuffle.
 4. Each document gets its intervals, and what they leave is hashed.
 
 Building one transform over whole documents this way would take as many rounds as the longest has bytes,
@@ -34,9 +35,9 @@ from orevein.llm import words
 from orevein.session import load, materialize
 
 LENGTH = 100
-K = 40
-HOT = 500
-COLLECTION = 1 << 18
+K = 48
+HOT = 20_000
+COLLECTION = 1 << 17
 CHUNK = 1 << 19
 _WINDOW = LENGTH - K + 1
 _PLACE = np.uint64((1 << 21) - 1)
@@ -121,7 +122,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Column:
-    """A pair of files of 16-bit numbers: each round reads one in sequence and writes the other, which then takes its place."""
+    """A pair of files of bytes: each round reads one in sequence and writes the other, which then takes its place."""
 
     def __init__(self, folder: str, name: str):
         self.old, self.new = (open(os.path.join(folder, f"{name}{i}"), "w+b", buffering=0) for i in range(2))
@@ -129,11 +130,11 @@ class _Column:
 
     def read(self) -> np.ndarray:
         self.old.seek(0)
-        return np.frombuffer(self.old.read(2 * self.n), "<u2")
+        return np.frombuffer(self.old.read(self.n), np.uint8)
 
     def write(self, values: np.ndarray) -> None:
         self.new.seek(0)
-        rest = memoryview(np.ascontiguousarray(values, "<u2")).cast("B")
+        rest = memoryview(np.ascontiguousarray(values, np.uint8))
         while len(rest):
             rest = rest[self.new.write(rest) :]
         self.old, self.new, self.n = self.new, self.old, len(values)
@@ -164,15 +165,19 @@ def _range_min(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndar
 def column_wise(raw: np.ndarray, ends: np.ndarray, folder: str) -> tuple[np.ndarray, np.ndarray]:
     """Transform (0 for an end, else a byte + 1) and common prefixes of the collection ``raw[ends[i]:ends[i + 1]]``.
 
+    Both fit into bytes: UTF-8 has no byte 255, and no string may be longer than 254.
+
     In round ``j`` each string of at least ``j`` bytes inserts its suffix of that length. Its place follows from how
     often its symbol occurs in the transform before the place of the suffix one shorter; its common prefixes with
     its neighbours are one more than the least common prefix up to the next occurrence of the symbol either way.
     """
     m, length = len(ends) - 1, np.diff(ends)
+    if length.max(initial=0) > 254:
+        raise ValueError("strings of the collection are limited to 254 bytes")
     transform, prefixes = _Column(folder, "transform"), _Column(folder, "prefixes")
-    code = lambda i, j: np.where(length[i] >= j, raw[np.maximum(ends[1:][i] - j, 0)].astype(np.uint16) + 1, 0).astype(np.uint16)
+    code = lambda i, j: np.where(length[i] >= j, raw[np.maximum(ends[1:][i] - j, 0)] + np.uint8(1), 0).astype(np.uint8)
     transform.write(code(np.arange(m), 1))
-    prefixes.write(np.zeros(m, np.uint16))
+    prefixes.write(np.zeros(m, np.uint8))
     active, place = np.arange(m), np.arange(m)
     for j in range(1, int(length.max(initial=0)) + 1):
         going = length[active] >= j
@@ -185,7 +190,7 @@ def column_wise(raw: np.ndarray, ends: np.ndarray, folder: str) -> tuple[np.ndar
         k, symbol = rank[place], bwt[place]
         before, after = order[np.maximum(k - 1, 0)], order[np.minimum(k + 1, len(bwt) - 1)]
         has_before, has_after = (k > 0) & (bwt[before] == symbol), (k + 1 < len(bwt)) & (bwt[after] == symbol)
-        up, down = np.zeros(len(k), np.uint16), np.zeros(len(k), np.uint16)
+        up, down = np.zeros(len(k), np.uint8), np.zeros(len(k), np.uint8)
         up[has_before] = 1 + _range_min(lcp, before[has_before] + 1, place[has_before] + 1)
         down[has_after] = 1 + _range_min(lcp, place[has_after] + 1, after[has_after] + 1)
         at = m + k - whole
