@@ -85,7 +85,7 @@ class _Runs:
                 if (done := self.close(last=False)) is not None:
                     closed.append(done)
                 self.sha = shas[start].as_py()
-            self.ids.append(ids.slice(start, end - start))
+            self.ids.append(pc.add(ids.slice(start, end - start), 0))  # a copy: a slice would hold the whole batch, texts and all
         self.text = texts[n - 1].as_py()
         if closed:
             yield from pa.Table.from_batches(closed).combine_chunks().to_batches()
