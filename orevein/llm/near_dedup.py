@@ -72,14 +72,19 @@ def band_hashes(registers: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return words.mix(out + np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def text_keys(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A 64-bit key of each text's row of words; 0 for a text without words."""
+def span_keys(hashes: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """A 64-bit key of each row of words ``[start, stop)``; 0 for one without words."""
     n = len(hashes)
     if n == 0:
-        return np.zeros(len(offsets) - 1, np.uint64)
+        return np.zeros(len(starts), np.uint64)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * words.powers(n), dtype=np.uint64)])
-    key = (total[offsets[1:]] - total[offsets[:-1]]) * words.powers(n + 1, inverse=True)[offsets[:-1]]
-    return np.where(np.diff(offsets) > 0, words.mix(key + np.diff(offsets).astype(np.uint64)), 0)
+    key = (total[stops] - total[starts]) * words.powers(n + 1, inverse=True)[starts]
+    return np.where(stops > starts, words.mix(key + (stops - starts).astype(np.uint64)), 0)
+
+
+def text_keys(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A 64-bit key of each text's row of words; 0 for a text without words."""
+    return span_keys(hashes, offsets[:-1], offsets[1:])
 
 
 def _prepared(batch: pa.RecordBatch):

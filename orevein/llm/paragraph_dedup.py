@@ -1,12 +1,18 @@
-"""Substring deduplication by paragraph MinHash banding.
-
-Paragraphs are found by content, so that a passage copied into the middle of another text falls into the
-same ones: a line is cut after each sentence that brings the paragraph to ``MIN_WORDS`` words (so every
-sentence of that length ends one wherever it stands), and every line end closes one. Paragraphs of fewer
-words are not compared. Each distinct paragraph has MinHash values of its five-word shingles in ``BANDS``
-bands of ``ROWS``, tuned for recall: similarity 0.8 collides with probability 1 - (1 - 0.8^2)^5 = 0.994.
-Colliding paragraphs are joined and verified by exact Jaccard similarity; classes are the components of
-the links, and all occurrences of a class but the first (smallest document, then place) are removed.
+"""Substring deduplication by paragraph MinHash banding and exact windows.
+
+Texts are cut by content, so that a passage copied into the middle of another text falls into the same
+parts however its lines are wrapped. Each place between two words has a rank: ends of lines before ends of
+sentences before other places, and among those a hash of the two words before. A line end after which a
+small ASCII letter goes on in the same sentence is a wrap and ranks as any other place. Places that rank
+highest among the ``MIN_WORDS // 2 - 1`` on either side end a *piece*, the unit that is numbered and removed;
+those that do so among ``MIN_WORDS - 1`` also end a *paragraph*. So every word of a text of ``MIN_WORDS``
+words or more is in a paragraph of that length, and each two neighbouring pieces are a *window* of that length.
+
+Each distinct paragraph has MinHash values of its five-word shingles in ``BANDS`` bands of ``ROWS``, tuned
+for recall: similarity 0.8 collides with probability 1 - (1 - 0.8^2)^5 = 0.994. Colliding paragraphs are
+joined and verified by exact Jaccard similarity; classes are the components of the links. Windows are
+compared by their key only: they find the ends of a passage, which lie in paragraphs that differ. All
+occurrences of a class or window but the first (smallest document, then place) are removed.
 """
 
 from __future__ import annotations
@@ -19,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orevein.llm import words
-from orevein.llm.near_dedup import band_hashes, text_keys, weighted
+from orevein.llm.near_dedup import band_hashes, span_keys, text_keys, weighted
 from orevein.llm.nearlink import fetch_grams, link_classes, shared_buckets
 from orevein.session import load, materialize
 
@@ -33,54 +39,84 @@ _ENDS[[ord(c) for c in ".!?"]] = True
 _FACTORS = words.mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
-def paragraphs(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of the texts' words: starts, ends and hashes; of their paragraphs: first word, text number, number in the text."""
+def _highest(rank: np.ndarray, reach: int) -> np.ndarray:
+    """Whether each place ranks above all of the ``reach`` before it and not below those after it."""
+    out = np.ones(len(rank), bool)
+    for d in range(1, reach + 1):
+        out[d:] &= rank[d:] > rank[:-d]
+        out[:-d] &= rank[:-d] >= rank[d:]
+    return out
+
+
+def pieces(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of the texts' words: starts and hashes; of their pieces: first words (and the number of words), text numbers, and whether a paragraph begins."""
     starts, stops = words.word_spans(raw, ends)
     hashes = words.span_hashes(raw, starts, stops)
     n = len(starts)
     bounds = np.searchsorted(starts, ends)
-    hard = np.zeros(n + 1, bool)
-    hard[bounds] = True
+    if n == 0:
+        return starts, hashes, np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
     lines = np.concatenate([[0], np.cumsum(raw == 10)])
-    if n > 1:
-        hard[1:n] |= lines[starts[1:]] > lines[stops[:-1]]
-    possible = hard.copy()
-    possible[1:] |= _ENDS[raw[stops - 1]]
-    firsts, at = [], 0
-    for e, h in zip((places := np.flatnonzero(possible)).tolist(), hard[places].tolist(), strict=True):
-        if h or e - at >= MIN_WORDS:
-            if e > at:
-                firsts.append(at)
-            at = e
-    firsts = np.array(firsts, np.int64)
-    doc = np.searchsorted(bounds, firsts, side="right") - 1
-    return starts, stops, hashes, np.append(firsts, n), doc, np.arange(len(firsts)) - np.searchsorted(doc, doc)
-
-
-def _items(hashes: np.ndarray, firsts: np.ndarray) -> np.ndarray:
-    return np.where(np.diff(firsts) >= MIN_WORDS, text_keys(hashes, firsts), 0)
+    sentence = np.zeros(n + 1, bool)
+    sentence[1:] = _ENDS[raw[stops - 1]]
+    breaks = np.zeros(n + 1, np.int64)
+    breaks[1:n] = lines[starts[1:]] - lines[stops[:-1]]
+    goes_on = np.zeros(n + 1, bool)
+    goes_on[:n] = (raw[starts] >= ord("a")) & (raw[starts] <= ord("z")) & (breaks[:n] < 2)
+    line = (breaks > 0) & (sentence | ~goes_on)
+    before = np.append(np.uint64(0), hashes[:-1])
+    before[bounds[bounds < n]] = 0  # no text depends on its neighbours
+    rank = np.zeros(n + 1, np.uint64)
+    rank[1:] = words.mix(hashes * _FACTORS[0] + before) >> np.uint64(3)
+    rank |= np.where(line, 2, sentence).astype(np.uint64) << np.uint64(61)
+    edge = np.zeros(n + 1, bool)
+    edge[bounds] = True
+    rank[edge] = np.uint64(1 << 63)
+    firsts = np.flatnonzero((edge | _highest(rank, MIN_WORDS // 2 - 1))[:n])
+    whole = (edge | _highest(rank, MIN_WORDS - 1))[firsts]
+    return starts, hashes, np.append(firsts, n), np.searchsorted(bounds, firsts, side="right") - 1, whole
+
+
+def _paragraphs(hashes: np.ndarray, firsts: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First pieces, first words (and the number of words) and keys of the paragraphs; a shorter text has key 0."""
+    at = np.flatnonzero(whole)
+    offsets = np.append(firsts[at], firsts[-1])
+    return at, offsets, np.where(np.diff(offsets) >= MIN_WORDS, text_keys(hashes, offsets), 0)
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each text with the sizes of its pieces, and one for each paragraph and window."""
     for batch in batches:
         for first, last, raw, ends in words.slices(batch.column("text")):
-            _, _, hashes, firsts, doc, number = paragraphs(raw, ends)
-            item, size = _items(hashes, firsts), np.diff(firsts)
-            none = np.setdiff1d(np.arange(last - first), doc)  # texts without words keep a row
-            take = pa.array(np.concatenate([doc, none]) + first)
-            pad = np.zeros(len(none), np.int64)
+            _, hashes, firsts, doc, whole = pieces(raw, ends)
+            at, _, item = _paragraphs(hashes, firsts, whole)
+            count = np.diff(np.append(at, len(doc)))
+            pair = np.flatnonzero(doc[1:] == doc[:-1])
+            pair = pair[~np.isin(pair, at[count == 2])]  # those are paragraphs
+            n, bounds = last - first, np.searchsorted(doc, np.arange(last - first + 1))
+            number = np.arange(len(doc)) - bounds[doc]
+            piece = np.concatenate([at[item != 0], pair])
+            sizes = words.list_array(np.diff(firsts).astype(np.int32), bounds, pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(take), batch.column("row").take(take), pa.array(np.concatenate([number, pad - 1]).astype(np.int32)), pa.array(np.concatenate([size, pad]).astype(np.int32)), pa.array(np.concatenate([item.astype(np.int64), pad]))],
-                names=["doc_id", "row", "number", "words", "item"],
+                [
+                    batch.column("doc_id").take(take := pa.array(np.concatenate([np.arange(n), doc[piece]]) + first)),
+                    batch.column("row").take(take),
+                    pa.array(np.concatenate([np.full(n, -1), number[piece]]).astype(np.int32)),
+                    pa.array(np.concatenate([np.zeros(n), count[item != 0], np.full(len(pair), 2)]).astype(np.int32)),
+                    pa.array(np.arange(n + len(piece)) < n + np.count_nonzero(item)),
+                    pa.array(np.concatenate([np.zeros(n, np.uint64), item[item != 0], span_keys(hashes, firsts[pair], firsts[pair + 2])]).astype(np.int64)),
+                    pa.concat_arrays([sizes, pa.nulls(len(piece), sizes.type)]),
+                ],
+                names=["doc_id", "row", "number", "pieces", "paragraph", "item", "sizes"],
             )
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, _, raw, ends in words.slices(batch.column("text")):
-            _, _, hashes, firsts, _, _ = paragraphs(raw, ends)
-            item = _items(hashes, firsts)
-            shingles, offsets = words.shingles(hashes, firsts, SHINGLE)
+            _, hashes, firsts, _, whole = pieces(raw, ends)
+            _, bounds, item = _paragraphs(hashes, firsts, whole)
+            shingles, offsets = words.shingles(hashes, bounds, SHINGLE)
             item, once = np.unique(item, return_index=True)
             item, once = item[item != 0], once[item != 0]
             if not len(item):
@@ -94,9 +130,10 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         asked = [set(w) for w in batch.column("wanted").to_pylist()]
         for start, _, raw, ends in words.slices(batch.column("text")):
-            _, _, hashes, firsts, doc, _ = paragraphs(raw, ends)
-            item = _items(hashes, firsts).astype(np.int64)
-            of, h, _ = weighted(*words.shingles(hashes, firsts, SHINGLE))
+            _, hashes, firsts, of_piece, whole = pieces(raw, ends)
+            at, offsets, item = _paragraphs(hashes, firsts, whole)
+            doc, item = of_piece[at], item.astype(np.int64)
+            of, h, _ = weighted(*words.shingles(hashes, offsets, SHINGLE))
             bounds = np.searchsorted(of, np.arange(len(item) + 1))
             every = pa.RecordBatch.from_arrays([pa.array(item), words.list_array(h.astype(np.int64), bounds, pa.int64())], names=["item", "grams"])
             yield every.filter(pa.array([k in asked[start + d] for k, d in zip(item.tolist(), doc.tolist(), strict=True)], pa.bool_()))
@@ -105,37 +142,49 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_paragraphs(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per input row: ``doc_id, n_paragraphs, n_repeated, n_removed, n_words, removed_words, removed``.
 
-    ``n_repeated`` counts the paragraphs that occur elsewhere too, the first occurrences included;
-    ``removed`` holds the numbers (from 0) of those to be removed. Null texts count as empty and have no
-    paragraphs; rows that repeat an identifier are texts of their own, in the order read, and null
-    identifiers come last. Other columns are ignored; an empty table gives an empty result.
+    Counts and numbers are those of pieces. ``n_repeated`` counts the ones in paragraphs and windows that occur
+    elsewhere too, the first occurrences included; ``removed`` holds the numbers (from 0) of those to be
+    removed. Null texts count as empty and have no pieces; rows that repeat an identifier are texts of their
+    own, in the order read, and null identifiers come last. Other columns are ignored; an empty table gives an
+    empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), "text")
-    seen = materialize(rows.mapInArrow(_occurrences, "doc_id long, row long, number int, words int, item long"), "paragraphs")
+    seen = materialize(rows.mapInArrow(_occurrences, "doc_id long, row long, number int, pieces int, paragraph boolean, item long, sizes array<int>"), "paragraphs")
     shared = materialize(shared_buckets(rows.select("text").mapInArrow(_buckets, "bucket long, item long")), "buckets")
-    owners = seen.join(shared.select("item").distinct(), "item", "left_semi").groupBy("item").agg(F.min("doc_id").alias("doc_id"))
+    parts = seen.filter("number >= 0").drop("sizes")
+    owners = parts.filter("paragraph").join(shared.select("item").distinct(), "item", "left_semi").groupBy("item").agg(F.min("doc_id").alias("doc_id"))
     classes = link_classes(shared, fetch_grams(rows, owners, _grams), similarity)
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "number")
-    contents = seen.filter("item <> 0").groupBy("item").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "number", "pieces")
+    contents = parts.groupBy("item").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
     classed = contents.join(classes, "item", "left").withColumn("class", F.coalesce("component", "item"))
     totals = classed.groupBy("class").agg(F.min("first").alias("first"), F.sum("n").alias("n")).filter("n > 1")
-    repeated = materialize(classed.select("item", "class").join(totals, "class").select("item", F.col("first.row").alias("first_row"), F.col("first.number").alias("first_number")), "repeated")
-    out = seen.join(repeated, "item", "left")
-    known = F.col("first_row").isNotNull()
-    gone = known & ~((F.col("row") == F.col("first_row")) & (F.col("number") == F.col("first_number")))
-    return out.groupBy("row").agg(
-        F.any_value("doc_id").alias("doc_id"),
-        F.count_if(F.col("number") >= 0).alias("n_paragraphs"),
-        F.count_if(known).alias("n_repeated"),
-        F.count_if(gone).alias("n_removed"),
-        F.sum("words").alias("n_words"),
-        F.coalesce(F.sum(F.when(gone, F.col("words"))), F.lit(0)).cast("long").alias("removed_words"),
-        F.array_sort(F.collect_list(F.when(gone, F.col("number")))).alias("removed"),
-    ).drop("row")
+    repeated = materialize(classed.select("item", "class").join(totals, "class").select("item", F.col("first.row").alias("first_row"), (F.col("first.number") + F.col("first.pieces")).alias("first_end")), "repeated")
+    # parts that overlap the first occurrence of what they repeat stay as it does
+    gone = (F.col("row") != F.col("first_row")) | (F.col("number") >= F.col("first_end"))
+    numbers = F.sequence("number", F.col("number") + F.col("pieces") - 1)
+    known = parts.join(repeated, "item").select("row", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("array<int>").alias("sizes"), numbers.alias("known"), F.when(gone, numbers).alias("gone"))
+    none = F.lit(None).cast("array<int>")
+    texts = seen.filter("number < 0").select("row", "doc_id", "sizes", none.alias("known"), none.alias("gone"))
+    out = texts.union(known).groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"),
+        F.first("sizes", ignorenulls=True).alias("sizes"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("known")))).alias("n_repeated"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("removed"),
+    )
+    total = lambda sizes: F.aggregate(sizes, F.lit(0).cast("long"), lambda a, x: a + x)
+    return out.select(
+        "doc_id",
+        F.size("sizes").cast("long").alias("n_paragraphs"),
+        F.col("n_repeated").cast("long").alias("n_repeated"),
+        F.size("removed").cast("long").alias("n_removed"),
+        total(F.col("sizes")).alias("n_words"),
+        total(F.transform("removed", lambda k: F.get("sizes", k))).alias("removed_words"),
+        "removed",
+    )
 
 
 def without_paragraphs(rows: DataFrame, text_col: str = "text", removed_col: str = "removed", out_col: str = "text") -> DataFrame:
-    """``rows`` with ``out_col``, the text less the paragraphs numbered in ``removed_col`` (each from its first word up to the next paragraph)."""
+    """``rows`` with ``out_col``, the text less the pieces numbered in ``removed_col`` (each from its first word up to the next piece)."""
 
     @F.arrow_udf("string")
     def strip(texts: pa.Array, removed: pa.Array) -> pa.Array:
@@ -143,7 +192,7 @@ def without_paragraphs(rows: DataFrame, text_col: str = "text", removed_col: str
         for text, gone in zip(texts.to_pylist(), removed.to_pylist(), strict=True):
             raw = np.frombuffer((text or "").encode(), np.uint8)
             if gone and len(raw):
-                starts, _, _, firsts, _, _ = paragraphs(raw, np.array([0, len(raw)]))
+                starts, _, firsts, _, _ = pieces(raw, np.array([0, len(raw)]))
                 begins = np.append(starts, len(raw))[firsts]
                 keep = np.ones(len(raw), bool)
                 for k in gone:

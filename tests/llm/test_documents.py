@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from orevein.llm import exact_dedup, near_dedup, paragraph_dedup, source_mix, suffix_dedup
-from tests.llm.fixtures import docs_frame, documents
+from tests.llm.fixtures import docs_frame, documents, prose
 
 
 def normalised(t):
@@ -92,6 +92,34 @@ def test_paragraph_dedup(spark):
     assert len(stripped.text.split()) == len(original.split()) - out[10].removed_words
 
 
+def planted(kind):
+    """Pairs of texts that share a passage of 60 words without sentence ends: wrapped, mid-line, or wrapped in one and mid-line in the other."""
+    rows, passages = [], {}
+    for i in range(40):
+        passage = prose(1000 + i, 60).replace(".", "").split()
+        for j in range(2):
+            every = prose(2000 + 2 * i + j, 80 + i % 8).replace(".", "").split() + passage + prose(3000 + 2 * i + j, 80).replace(".", "").split()
+            wrap = kind == "wrapped" or (kind == "mixed" and j)
+            rows.append((100 * j + i, "\n".join(" ".join(every[k : k + 8]) for k in range(0, len(every), 8)) if wrap else " ".join(every)))
+        passages[i] = passage
+    return rows, passages
+
+
+@pytest.mark.parametrize("kind", ["wrapped", "mid-line", "mixed"])
+def test_paragraph_dedup_finds_passages_without_line_or_sentence_ends(spark, kind):
+    rows, passages = planted(kind)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = {r.doc_id: r for r in paragraph_dedup.repeated_paragraphs(docs).collect()}
+    assert all(out[i].n_removed == 0 and out[i].n_words == len(rows[2 * i][1].split()) for i in passages)
+    left = paragraph_dedup.without_paragraphs(docs.join(spark.createDataFrame([(r.doc_id, r.removed) for r in out.values()], "doc_id long, removed array<int>"), "doc_id")).collect()
+    texts = dict(rows)
+    for r in left:
+        assert len(r.text.split()) == len(texts[r.doc_id].split()) - out[r.doc_id].removed_words
+    found = [out[100 + i].removed_words / len(p) for i, p in passages.items()]
+    assert max(found) <= 1 and min(found) > 0 and sum(found) / len(found) > 0.7
+    assert [r for r in out.values() if r.n_repeated and r.doc_id < 100]
+
+
 def removed(rows):
     """Brute force over all starts, in the order of documents."""
     seen, out = set(), []
