@@ -6,7 +6,9 @@ register keeps the shingle that arrives first. A document's processes stop as so
 arrivals come after the last register's (early termination). Two documents agree in a register with
 the probability Jaccard similarity of their weights, which for sets is the Jaccard similarity.
 ``BANDS`` bands of ``ROWS`` registers give the buckets: a pair of similarity 0.8 shares one with
-probability 1 - (1 - 0.8^4)^16 = 0.9998. Colliding documents are verified by the exact Jaccard similarity
+probability 1 - (1 - 0.8^4)^16 = 0.9998. Links are those of sets, so a text that repeats a shingle is also
+banded with all weights 1, which gives each pair to be linked that probability however its repeats differ.
+Colliding documents are verified by the exact Jaccard similarity
 of their shingle sets, and classes are the connected components of the links.
 """
 
@@ -99,10 +101,22 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, last - first), pa.array(keys.astype(np.int64))], names=["doc_id", "item"])
 
 
+def _registers(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Registers and the numbers of their texts: one row a text, and one of unit weights for those that repeat a shingle."""
+    doc, h, weight = weighted(*words.shingles(hashes, offsets, SHINGLE))
+    n = len(offsets) - 1
+    repeats = np.bincount(doc[weight > 1], minlength=n) > 0
+    again = repeats[doc]
+    number, texts = np.cumsum(repeats) - 1, np.flatnonzero(repeats)
+    unit = prob_minhash(number[doc[again]], h[again], np.ones(np.count_nonzero(again), np.int64), len(texts))
+    return np.concatenate([prob_minhash(doc, h, weight, n), unit]), np.concatenate([np.arange(n), texts])
+
+
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for first, last, hashes, offsets, keys in _prepared(batch):
-            registers = prob_minhash(*weighted(*words.shingles(hashes, offsets, SHINGLE)), last - first)
+        for _, _, hashes, offsets, keys in _prepared(batch):
+            registers, text = _registers(hashes, offsets)
+            keys = keys[text]
             keep = keys != 0
             buckets = band_hashes(registers[keep], BANDS, ROWS)
             yield pa.RecordBatch.from_arrays([pa.array(buckets.ravel().astype(np.int64)), pa.array(np.repeat(keys[keep], BANDS).astype(np.int64))], names=["bucket", "item"])

@@ -92,6 +92,18 @@ def test_paragraph_dedup(spark):
     assert len(stripped.text.split()) == len(original.split()) - out[10].removed_words
 
 
+def test_near_dedup_finds_copies_that_repeat_a_line(spark):
+    rows = []
+    for i in range(20):
+        text = [f"w{i}x{k}" for k in range(200)]
+        line = " ".join(text[90:100])
+        rows += [(i, " ".join(text)), (100 + i, " ".join(text[:100]) + "\n" + f"{line}\n" * 50 + " ".join(text[100:]))]
+    sets = [shingles(t) for _, t in rows]
+    assert all(len(a & b) >= 0.8 * len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True))
+    out = near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.keep_id, r.group_size) for r in out} == {(i + d, i, 2) for i in range(20) for d in (0, 100)}
+
+
 def planted(kind):
     """Pairs of texts that share a passage of 60 words without sentence ends: wrapped, mid-line, or wrapped in one and mid-line in the other."""
     rows, passages = [], {}
