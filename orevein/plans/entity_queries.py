@@ -77,7 +77,8 @@ def ssml(spark, sf_dir):
 
 @query("hashed_sparse")
 def hashed_sparse(spark, sf_dir):
-    return load(spark, sf_dir, "documents").select("doc_id", F.size(E.hashed_counts(F.slice(terms(F.col("text")), 1, 50))).alias("n"))
+    counts = E.hashed_counts(load(spark, sf_dir, "documents").select("doc_id", terms(F.col("text")).alias("terms")))
+    return counts.select("doc_id", F.size("counts").alias("n"))
 
 
 @query("canned_reply", "SELECT 1 AS id, 'Hello.' AS reply UNION ALL SELECT 2, NULL")

@@ -126,3 +126,18 @@ def test_upsert_is_idempotent(spark):
     assert sorted(map(tuple, once.collect())) == sorted(map(tuple, upsert(once, new).collect())) == [(1, "a"), (2, "d"), (3, "e")]
 
 
+
+
+def test_hashed_counts_take_every_term(spark, sf_dir):
+    from orevein.functions import entities
+    from orevein.plans.entity_queries import hashed_sparse
+    from orevein.session import load
+
+    docs = load(spark, sf_dir, "documents").select("doc_id", text.terms(F.col("text")).alias("terms"))
+    found = {r.doc_id: r.terms for r in docs.collect()}
+    each = spark.createDataFrame([(t,) for t in {t for ts in found.values() for t in ts}], "t string")
+    slot = dict(each.select("t", F.pmod(F.xxhash64("t"), F.lit(65536))).collect())
+    assert {r.doc_id: r.n for r in hashed_sparse(spark, sf_dir).collect()} == {i: len({slot[t] for t in ts}) for i, ts in found.items()}
+    few = spark.createDataFrame([(1, ["a", "b", "a"]), (1, ["a"]), (2, []), (3, None)], "doc_id long, terms array<string>")
+    out = entities.hashed_counts(few).collect()
+    assert sorted((r.doc_id, sorted(r.counts.values())) for r in out) == [(1, [1]), (1, [1, 2]), (2, []), (3, [])]
