@@ -242,7 +242,7 @@ def _intervals(text: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
     new = np.ones(len(text), bool)
     new[1:] = (text[1:] != text[:-1]) | (start[1:] != start[:-1] + 1)
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(text)) - 1
+    last = np.append(first, len(text))[1:] - 1
     return pa.RecordBatch.from_arrays([pa.array(text[first].astype(np.int64)), pa.array(start[first].astype(np.int32)), pa.array((start[last] + 1).astype(np.int32))], names=["num", "low", "high"])
 
 
