@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orevein.session import load, materialize
@@ -130,18 +130,25 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """``docs`` without the copies: of each group of equal texts the row with the smallest ``doc_id`` stays, all columns as they were."""
-    kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    own = docs.withColumn("__sha", F.sha2(normalised(F.col("text")), 256))
-    joined = own.join(kept.withColumnRenamed("__sha", "__kept_sha"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__kept_sha")), "left_semi")
-    return drop_repeats(joined, "doc_id", "__sha").drop("__sha")
+    decided = exact_dedup(docs).select("doc_id", F.col("text_sha256").alias("digest"), "kept")
+    return keep_rows(docs, decided, F.sha2(normalised(F.col("text")), 256))
 
 
-def drop_repeats(rows: DataFrame, *keys: str) -> DataFrame:
-    """One row for each key; rows that repeat a key are rare here, so the window has tiny groups."""
-    from pyspark.sql import Window
+def keep_rows(docs: DataFrame, decided: DataFrame, digest: Column) -> DataFrame:
+    """The rows of ``docs`` that ``decided(doc_id, digest, kept)``, one row for each of them, keeps.
 
-    one = Window.partitionBy(*keys).orderBy(*keys)
-    return rows.withColumn("__n", F.row_number().over(one)).filter("__n = 1").drop("__n")
+    Of rows that agree in ``doc_id`` and ``digest`` as many stay as are kept there; which of them is open. Such
+    repeats are looked for in the narrow table first, so that texts are not sorted for a window when there are none.
+    """
+    totals = decided.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("m"), F.count_if("kept").alias("n")).filter("n > 0")
+    totals = materialize(totals.toDF("__id", "__kept_digest", "__rows", "__kept"), "kept")
+    columns = docs.columns
+    own = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)], F.col("doc_id").cast("long").alias("__own"), digest.alias("__digest"))
+    joined = own.join(totals, F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__kept_digest")))
+    if totals.filter("__rows > __kept").take(1):
+        repeats = Window.partitionBy("__own", "__digest").orderBy("__own")
+        joined = joined.withColumn("__n", F.row_number().over(repeats)).filter("__n <= __kept")
+    return joined.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
