@@ -8,8 +8,8 @@ the probability Jaccard similarity of their weights, which for sets is the Jacca
 ``BANDS`` bands of ``ROWS`` registers give the buckets: a pair of similarity 0.8 shares one with
 probability 1 - (1 - 0.8^4)^16 = 0.9998. Links are those of sets, so a text that repeats a shingle is also
 banded with all weights 1, which gives each pair to be linked that probability however its repeats differ.
-Colliding documents are verified by the exact Jaccard similarity
-of their shingle sets, and classes are the connected components of the links.
+Colliding documents are verified by the exact Jaccard similarity of their shingle sets, all pairs of
+those that are not in one class yet, and classes are the connected components of the links.
 """
 
 from __future__ import annotations
@@ -18,12 +18,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orevein.llm import words
+from orevein.llm.exact_dedup import keep_rows
 from orevein.llm.nearlink import fetch_grams, link_classes, shared_buckets
-from orevein.session import load, materialize
+from orevein.session import discard, load, materialize
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -98,7 +99,8 @@ def _prepared(batch: pa.RecordBatch):
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, last, _, _, keys in _prepared(batch):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, last - first), pa.array(keys.astype(np.int64))], names=["doc_id", "item"])
+            own = [batch.column(name).slice(first, last - first) for name in ("doc_id", "digest")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(keys.astype(np.int64))], names=["doc_id", "digest", "item"])
 
 
 def _registers(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,30 +142,37 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     space aside) are copies. Null texts count as empty; texts without a word link with nothing and are each
     their own class. Texts of fewer than five words are one shingle. Null identifiers come last. Of rows that
     repeat the smallest identifier one is kept. Other columns are ignored; an empty table gives an empty result.
+    Distinct texts are told apart by 64 bits of their words: two of ``n`` are taken for one with ``n^2 / 2^65``.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    keys = materialize(rows.mapInArrow(_keys, "doc_id long, item long").withColumn("row", F.monotonically_increasing_id()), "keys")
+    return _decided(docs, similarity, F.lit("")).drop("digest")
+
+
+def _decided(docs: DataFrame, similarity: float, digest: Column) -> DataFrame:
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", digest.alias("digest"))
+    keys = materialize(rows.mapInArrow(_keys, "doc_id long, digest string, item long").withColumn("row", F.monotonically_increasing_id()), "keys")
     shared = materialize(shared_buckets(rows.select("text").mapInArrow(_buckets, "bucket long, item long")), "buckets")
     items = shared.select("item").distinct()
     owners = keys.join(items, "item", "left_semi").groupBy("item").agg(F.min("doc_id").alias("doc_id"))
     grams = fetch_grams(rows, owners, _grams)
     classes = link_classes(shared, grams, similarity)
+    discard(shared, grams)
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    contents = keys.filter("item <> 0").groupBy("item").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n"))
+    worded = keys.filter("item <> 0")
+    contents = worded.groupBy("item").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n"))
     grouped = contents.join(classes, "item", "left").withColumn("class", F.coalesce("component", "item"))
-    totals = grouped.groupBy("class").agg(F.min("first").alias("keep"), F.sum("n").alias("group_size"))
+    totals = grouped.groupBy("class").agg(F.min("first").alias("keep"), F.sum("n").alias("group_size")).filter("group_size > 1")
+    # only items in classes of several rows are joined back: the others are their own class
     decided = materialize(grouped.select("item", "class").join(totals, "class").select("item", F.col("keep.doc_id").alias("keep_id"), F.col("keep.row").alias("keep_row"), "group_size"), "classes")
-    out = keys.join(decided, "item", "left")
-    return out.select("doc_id", F.when(F.col("item") == 0, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), F.coalesce(F.col("row") == F.col("keep_row"), F.lit(True)).alias("kept"))
+    joined = worded.join(decided, "item", "left")
+    found = joined.select("doc_id", "digest", F.when(F.col("keep_row").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), F.coalesce(F.col("row") == F.col("keep_row"), F.lit(True)).alias("kept"))
+    wordless = keys.filter("item = 0").select("doc_id", "digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
+    return found.unionByName(wordless)
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each class, all columns as they were."""
-    from orevein.llm.exact_dedup import drop_repeats
-
-    kept = near_classes(docs).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
-    joined = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return drop_repeats(joined, "doc_id", "text")
+    """``docs`` with one row of each class, all columns as they were; a row is known by its ``doc_id`` and its text."""
+    digest = F.md5(F.coalesce("text", F.lit("")))
+    return keep_rows(docs, _decided(docs, SIMILARITY, digest).select("doc_id", "digest", "kept"), digest)
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

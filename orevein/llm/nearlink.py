@@ -1,16 +1,17 @@
 """Links and classes of similar items that share a bucket, without emitting all pairs of a bucket.
 
 Buckets come as rows ``bucket, item`` (an item is the hash of a distinct content, so copies fold in the
-first aggregate). Each item that shares a bucket gets a signature of ``SIGNATURE`` MinHash values of its
-grams. Within a bucket signatures are compared as matrices, and only pairs whose estimate is at least
-``CUT`` (for similarity 0.8 all but about 0.1 %) may leave the task:
+first aggregate). Buckets with the same members are one.
 
-* first a spanning forest of the strongest pairs, so one row an item whatever the bucket holds;
-* then, once those are verified and classes are known, the pairs that still lie in different classes,
-  each from the first of the buckets that it shares.
+* First pass, in proportion to the rows: each item carries ``SIGNATURE`` MinHash values of its grams, buckets of
+  more than ``BLOCK`` items are dealt into blocks twice, by two hashes, and each block gives a spanning forest of
+  its most similar signatures. The pairs are verified and give classes, so a large group of near copies is
+  one class from here on. What signatures miss is left to the second pass.
+* Second pass, exact: buckets whose members lie in different classes are compared by their whole gram sets,
+  all pairs of different classes inside the task, which gives out a spanning forest of the links it found.
+  Classes that fill a block of a bucket get blocks of their own, which aren't compared with each other.
 
-Items of one class need no further comparison, since classes are what is asked for. Buckets of more than
-``BLOCK`` items are cut into blocks, and each pair of blocks is a group of its own.
+So two items that share a bucket and have the similarity end in one class, whatever their signatures.
 """
 
 from __future__ import annotations
@@ -24,18 +25,21 @@ from pyspark.sql import functions as F
 
 from orevein.llm import words
 from orevein.llm.components import connected_components
-from orevein.session import materialize
+from orevein.session import discard, materialize
 
-SIGNATURE = 256
-CUT = 0.72
+SIGNATURE = 64
+CUT = 0.7
 BLOCK = 512
+BLOCK_GRAMS = 1 << 20
 _FACTORS = words.mix(np.arange(101, 101 + SIGNATURE, dtype=np.uint64)) | np.uint64(1)
 
 
 def shared_buckets(rows: DataFrame) -> DataFrame:
-    """The rows ``bucket, item`` (distinct) of buckets with at least two different items."""
-    several = rows.groupBy("bucket").agg(F.min("item").alias("lo"), F.max("item").alias("hi")).filter("lo < hi").select("bucket")
-    return rows.join(several, "bucket").select("bucket", "item").distinct()
+    """The rows ``bucket, item`` (distinct) of buckets with at least two different items; of buckets with the same items one."""
+    distinct = rows.select("bucket", "item").distinct()
+    h = F.xxhash64("item")
+    sets = distinct.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("a"), F.bit_xor(F.xxhash64(h, F.lit(1))).alias("b")).filter("n > 1")
+    return distinct.join(sets.groupBy("n", "a", "b").agg(F.min("bucket").alias("bucket")).select("bucket"), "bucket")
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,74 +69,135 @@ def _forest(alike: np.ndarray, least: int) -> list[tuple[int, int]]:
     return edges
 
 
-def _pairs_in(table: pa.Table, final: bool) -> list[tuple[int, int]]:
-    """Pairs of one bucket, or of one pair of its blocks."""
-    item, block, of_class = table["item"].to_numpy(), table["block"].to_numpy(), table["class"].to_numpy()
+def _alike(table: pa.Table) -> list[tuple[int, int]]:
+    """Pairs of one block by signatures."""
+    item = table["item"].to_numpy()
     signature = np.frombuffer(b"".join(table["signature"].to_pylist()), "<u2").reshape(len(item), SIGNATURE)
-    x, y, least = table["x"][0].as_py(), table["y"][0].as_py(), round(CUT * SIGNATURE)
-    left = np.flatnonzero(block == x)
-    right = left if x == y else np.flatnonzero(block == y)
-    if not len(left) or not len(right):
-        return []
-    alike = np.stack([(signature[i] == signature[right]).sum(axis=1) for i in left])
-    if final:
-        wanted = (alike >= least) & (of_class[left][:, None] != of_class[right][None]) & ((left[:, None] < right[None]) | (x != y))
-        found = [(left[a], right[b]) for a, b in zip(*np.nonzero(wanted), strict=True)]
-        if found:
-            here, every = table["bucket"][0].as_py(), list(map(set, table["buckets"].to_pylist()))
-            found = [(a, b) for a, b in found if min(every[a] & every[b]) == here]
-    elif x == y:
-        found = [(left[a], left[b]) for a, b in _forest(alike, least)]
-    else:
-        a, b = np.unravel_index(alike.argmax(), alike.shape)
-        found = [(left[a], right[b])] if alike[a, b] >= least else []
-    return [(int(min(item[a], item[b])), int(max(item[a], item[b]))) for a, b in found]
+    alike = np.stack([(row == signature).sum(axis=1) for row in signature])
+    return [(int(min(item[a], item[b])), int(max(item[a], item[b]))) for a, b in _forest(alike, round(CUT * SIGNATURE))]
+
+
+def _root(parent: dict[int, int], x: int) -> int:
+    while parent.setdefault(x, x) != x:
+        parent[x] = x = parent[parent[x]]
+    return x
+
+
+def _linked(per_mille: int):
+    """Links between different classes of one pair of blocks, by whole gram sets: a spanning forest of the classes."""
+
+    def run(table: pa.Table) -> list[tuple[int, int]]:
+        item, of_class, part = table["item"].to_numpy(), table["class"].to_numpy(), table["part"].to_numpy()
+        x, y = table["x"][0].as_py(), table["y"][0].as_py()
+        grams = table["grams"].combine_chunks()
+        size = pa.compute.list_value_length(grams).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum(size)])
+        values, code = np.unique(grams.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+        left = np.flatnonzero(part == x)
+        right = left if x == y else np.flatnonzero(part == y)
+        left, right = left[size[left] > 0], right[size[right] > 0]
+        if not len(left) or not len(right):
+            return []
+        if len(left) > len(right):
+            left, right = right, left
+        theirs = code[words.ragged(ends[right], size[right])]
+        starts = np.concatenate([[0], np.cumsum(size[right])[:-1]])
+        parent, out, mark = {}, [], np.zeros(len(values), bool)
+        for i in left:
+            near = (of_class[right] != of_class[i]) & (np.minimum(size[right], size[i]) * 1000 >= np.maximum(size[right], size[i]) * per_mille)
+            if not near.any():
+                continue
+            own = code[ends[i] : ends[i + 1]]
+            mark[own] = True
+            common = np.add.reduceat(mark[theirs].astype(np.int64), starts)
+            mark[own] = False
+            # in integers, so that a similarity of just the threshold isn't lost to rounding
+            for j in right[near & (common * 1000 >= (size[right] + size[i] - common) * per_mille)]:
+                a, b = _root(parent, int(of_class[i])), _root(parent, int(of_class[j]))
+                if a != b:
+                    parent[a] = b
+                    out.append((int(min(item[i], item[j])), int(max(item[i], item[j]))))
+        return out
+
+    return run
 
 
-def _pairs(final: bool):
-    """Pairs of the groups ``bucket, x, y`` in batches sorted by those."""
+def _in_groups(keys: list[str], pairs_of: Callable[[pa.Table], list[tuple[int, int]]]):
+    """``pairs_of`` of each group of equal ``keys`` in batches sorted by those."""
 
-    def finish(table: pa.Table, cuts: list[int]) -> Iterator[pa.RecordBatch]:
-        found = {p for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b - a > 1 for p in _pairs_in(table.slice(a, b - a), final)}
+    def cuts(table: pa.Table) -> list[int]:
+        new = np.zeros(table.num_rows, bool)
+        new[0] = True
+        for name in keys:
+            v = table[name].to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        return np.flatnonzero(new).tolist()
+
+    def finish(table: pa.Table, at: list[int]) -> Iterator[pa.RecordBatch]:
+        found = {p for a, b in zip(at[:-1], at[1:], strict=True) if b - a > 1 for p in pairs_of(table.slice(a, b - a))}
         if found:
             a, b = zip(*found, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held: list[pa.RecordBatch] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            table = pa.Table.from_batches([batch])
-            table = (pa.concat_tables([held, table]) if held is not None else table).combine_chunks()
-            cuts = _cuts(table)
-            held = table.slice(cuts[-1])
-            yield from finish(table, cuts)
-        if held is not None:
-            yield from finish(held, [0, held.num_rows])
+            same = held and all(batch.column(k)[-1] == held[0].column(k)[0] for k in keys)
+            held.append(batch)
+            if same:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            at = cuts(table)
+            yield from finish(table, at)
+            rest = table.slice(at[-1])
+            held = pa.Table.from_batches([b.take(pa.array(range(b.num_rows))) for b in rest.to_batches()]).to_batches()  # a copy: a slice would hold the whole table
+        if held:
+            table = pa.Table.from_batches(held).combine_chunks()
+            yield from finish(table, [*cuts(table), table.num_rows])
         words.trim()
 
     return run
 
 
-def _cuts(table: pa.Table) -> list[int]:
-    new = np.zeros(table.num_rows, bool)
-    new[0] = True
-    for name in ("bucket", "x", "y"):
-        v = table[name].to_numpy()
-        new[1:] |= v[1:] != v[:-1]
-    return np.flatnonzero(new).tolist()
-
-
-def _candidates(rows: DataFrame, final: bool) -> DataFrame:
-    """Distinct pairs ``a < b`` of ``bucket, item, class, signature, buckets``."""
-    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("class").alias("lo"), F.max("class").alias("hi"))
-    sizes = sizes.filter("lo < hi").select("bucket", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    cut = rows.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("item", "bucket"), F.col("blocks")).cast("int"))
-    spread = cut.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+def _forests(shared: DataFrame, grams: DataFrame) -> DataFrame:
+    """First pass: distinct pairs ``a < b`` with like signatures."""
+    hot = shared.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK)
+    dealt = shared.join(hot, "bucket", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("n") / BLOCK), F.lit(1)).cast("int"))
+    turn = F.explode(F.when(F.col("blocks") > 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("turn")
+    rows = dealt.select("bucket", "item", "blocks", turn).select("bucket", "item", "turn", F.pmod(F.xxhash64("item", "bucket", "turn"), F.col("blocks")).cast("int").alias("block"))
+    keys = ["bucket", "turn", "block"]
+    signed = rows.join(grams.mapInArrow(_sign, "item long, signature binary"), "item")
+    return signed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_in_groups(keys, _alike), "a long, b long").distinct()
+
+
+def _across(shared: DataFrame, classes: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
+    """Second pass: links between different classes that share a bucket."""
+    sizes = grams.select("item", F.size("grams").cast("long").alias("size")).join(classes, "item", "left")
+    rows = shared.join(sizes.select("item", "size", F.coalesce("component", "item").alias("class")), "item")
+    mixed = rows.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi").select("bucket")
+    rows = materialize(rows.join(mixed, "bucket", "left_semi"), "mixed")
+    if not rows.take(1):
+        return rows.select(F.col("item").alias("a"), F.col("item").alias("b"))
+    blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_GRAMS)).cast("int")
+    own = rows.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).withColumn("own", blocks(F.col("n"), F.col("size")))
+    large = own.filter("own > 1").select("bucket", "class", "own")
+    small = own.filter("own = 1").groupBy("bucket").agg(blocks(F.sum("n"), F.sum("size")).alias("rest"))
+    placed = rows.join(large, ["bucket", "class"], "left").join(small, "bucket", "left")
+    alone = F.when(F.col("own").isNotNull(), F.col("class"))
+    part = F.when(F.col("own").isNotNull(), F.xxhash64("class", F.pmod(F.xxhash64("item"), F.col("own")))).otherwise(F.pmod(F.xxhash64("class"), F.col("rest")))
+    placed = materialize(placed.select("bucket", "item", "class", alone.alias("alone"), part.alias("part")), "placed")
+    parts = placed.groupBy("bucket", "part").agg(F.max("alone").alias("alone"))
+    other = parts.select("bucket", F.col("part").alias("with"), F.col("alone").alias("other"))
+    pairs = parts.join(other, "bucket").filter(~F.coalesce(F.col("alone") == F.col("other"), F.lit(False)))
+    groups = pairs.select("bucket", "part", F.least("part", "with").alias("x"), F.greatest("part", "with").alias("y")).distinct()
     keys = ["bucket", "x", "y"]
-    spread = spread.select("bucket", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"), "block", "item", "class", "signature", "buckets")
-    return spread.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_pairs(final), "a long, b long").distinct()
+    whole = placed.select("bucket", "item", "class", "part").join(groups, ["bucket", "part"]).join(grams, "item")
+    found = whole.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_in_groups(keys, _linked(round(similarity * 1000))), "a long, b long").distinct()
+    found = materialize(found, "links")
+    discard(rows, placed)
+    return found
 
 
 def link_classes(shared: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
@@ -140,22 +205,19 @@ def link_classes(shared: DataFrame, grams: DataFrame, similarity: float) -> Data
 
     Two items are linked if the Jaccard similarity of their gram sets is at least ``similarity``.
     """
-    known = shared.groupBy("item").agg(F.collect_list("bucket").alias("buckets")).join(grams.mapInArrow(_sign, "item long, signature binary"), "item")
-    signed = materialize(shared.join(known, "item"), "signed")
-    strong = materialize(_candidates(signed.withColumn("class", F.col("item")), final=False), "pairs")
+    strong = materialize(_forests(shared, grams), "pairs")
     links = materialize(_verified(strong, grams, similarity), "links")
     classes = connected_components(links)
-    classed = signed.join(classes, "item", "left").withColumn("class", F.coalesce("component", "item")).drop("component")
-    rest = materialize(_candidates(classed, final=True).join(strong, ["a", "b"], "left_anti"), "pairs")
-    more = materialize(_verified(rest, grams, similarity), "links")
-    return connected_components(links.union(more)) if more.take(1) else classes
+    more = _across(shared, classes, grams, similarity)
+    out = connected_components(links.union(more)) if more.take(1) else classes
+    discard(strong, links, more)
+    return out
 
 
 def _verified(pairs: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
     left = grams.select(F.col("item").alias("a"), F.col("grams").alias("ga"))
     right = grams.select(F.col("item").alias("b"), F.col("grams").alias("gb"))
     both = pairs.join(left, "a").join(right, "b").withColumn("n", F.size(F.array_intersect("ga", "gb")))
-    # in integers, so that a similarity of just the threshold isn't lost to rounding
     need = round(similarity * 1000)
     return both.filter(F.col("n") * 1000 >= (F.size("ga") + F.size("gb") - F.col("n")) * need).select("a", "b")
 
