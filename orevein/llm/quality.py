@@ -125,7 +125,9 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> n
     """Weights learned from at most ``train_docs`` labelled rows outside the held-out fold."""
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out())
     sample = usable.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label")).withColumn("turn", F.xxhash64("doc_id")).orderBy("turn", "doc_id").limit(train_docs)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    # one text a document, should its number be repeated: the sample bounds what the fitting task holds
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    rows = texts.groupBy("doc_id", "turn", "label").agg(F.min("text").alias("text"))
     examples = rows.select("turn", "label", "text").mapInArrow(_examples, "turn long, label int, index array<int>, value array<float>")
     fitted = examples.repartition(1).sortWithinPartitions("turn").mapInArrow(_fit, "index int, weight double").toPandas()
     out = np.zeros(BUCKETS + 1)
@@ -142,9 +144,7 @@ def with_score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
         w, out = shared.value, np.zeros(len(texts))
         for first, last, raw, ends in words.slices(texts):
             numbers, offsets = features(raw, ends)
-            running = np.concatenate([[0.0], np.cumsum(w[numbers])])
-            counts = np.maximum(1, np.diff(offsets))
-            out[first:last] = w[BUCKETS] + SCALE * (running[offsets[1:]] - running[offsets[:-1]]) / counts
+            out[first:last] = w[BUCKETS] + SCALE * words.sums(w[numbers], offsets) / np.maximum(1, np.diff(offsets))
         return pa.array(1 / (1 + np.exp(-np.clip(out, -35, 35))))
 
     return docs.withColumn("score", score(F.col("text")))
@@ -154,7 +154,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per input row: ``doc_id, held_out, score, predicted``.
 
     Null texts count as empty and score the bias alone. Labels that are null or repeated for a document
-    are left out or averaged; without any label every score is 0.5. Repeated rows are scored each, an
+    are left out or averaged; of texts that repeat a labelled number the first in order is learned from; without any label every score is 0.5. Repeated rows are scored each, an
     empty table gives an empty result and other columns are ignored.
     """
     weights = train(docs, labels)

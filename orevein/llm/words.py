@@ -145,5 +145,14 @@ def shingles(hashes: np.ndarray, offsets: np.ndarray, n: int = 5) -> tuple[np.nd
     return out, out_offsets
 
 
+def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sum of ``values`` between neighbouring offsets, each by itself: it doesn't depend on what stands beside it."""
+    out = np.zeros(len(offsets) - 1, values.dtype)
+    some = np.flatnonzero(np.diff(offsets))
+    if len(some):
+        out[some] = np.add.reduceat(values, offsets[:-1][some])
+    return out
+
+
 def list_array(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values, kind))
