@@ -18,12 +18,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orevein.llm import words
-from orevein.session import load
+from orevein.session import discard, load, materialize
 
 BUCKETS = 1 << 16
 ORDERS = (2, 3)
 SMOOTHING = 0.5
-MAX_LANGS = 512
+MAX_LANGS = 256
+AT_ONCE = 16
 FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
 
@@ -89,13 +90,15 @@ def fold(id_col: str = "doc_id", folds: int = FOLDS) -> F.Column:
 def train(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, their log priors and the log-probability matrix, from rows with a language and a text."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    counted = rows.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    found = counted.toPandas()
-    langs = sorted(found["lang"].unique())
+    counted = materialize(rows.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "counts")
+    langs = sorted(r.lang for r in counted.select("lang").distinct().limit(MAX_LANGS + 1).collect())
     if len(langs) > MAX_LANGS:
-        raise ValueError(f"{len(langs)} languages; the matrix is broadcast for {MAX_LANGS} at most")
+        raise ValueError(f"more than {MAX_LANGS} languages: the matrix would not fit into a broadcast")
     counts = np.zeros((len(langs), BUCKETS + 1))
-    counts[found["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(int), found["bucket"].to_numpy(int)] = found["n"]
+    for k in range(0, len(langs), AT_ONCE):  # at most AT_ONCE x BUCKETS rows on the driver
+        found = counted.filter(F.col("lang").isin(langs[k : k + AT_ONCE])).toPandas()
+        counts[found["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(int), found["bucket"].to_numpy(int)] = found["n"]
+    discard(counted)
     docs_per, grams = counts[:, BUCKETS], counts[:, :BUCKETS]
     prior = np.log((docs_per + 1) / (docs_per.sum() + max(1, len(langs))))
     matrix = np.log((grams + SMOOTHING) / (grams.sum(axis=1, keepdims=True) + SMOOTHING * BUCKETS))
@@ -108,11 +111,12 @@ def _predict(texts: pa.Array, langs: list[str], prior: np.ndarray, matrix: np.nd
         totals = np.tile(prior, (last - first, 1)) if langs else np.zeros((last - first, 1))
         for n in ORDERS:
             bucket, real = _grams(points, n)
+            of_doc = np.repeat(np.arange(last - first), np.diff(offsets))
+            crosses = ~real | (of_doc[: len(bucket)] != of_doc[n - 1 :])
             for k in range(len(langs)):
-                each = matrix[k][bucket]
-                each[~real] = 0
-                running = np.concatenate([[0.0], np.cumsum(each, dtype=np.float64)])
-                totals[:, k] += running[np.maximum(offsets[1:] - n + 1, offsets[:-1])] - running[offsets[:-1]]
+                each = matrix[k][bucket].astype(np.float64)
+                each[crosses] = 0
+                totals[:, k] += words.sums(each, np.minimum(offsets, len(each)))
         letters = np.concatenate([[0], np.cumsum(points != 32)])
         known = (letters[offsets[1:]] > letters[offsets[:-1]]) & bool(langs)
         best = totals.argmax(axis=1)
