@@ -80,9 +80,9 @@ def cells(unit: np.ndarray, space: np.ndarray) -> np.ndarray:
     out = np.zeros((n, TABLES, 1 + PROBES), np.uint64)
     around = _neighbours()
     for t, directions in enumerate(_directions(dim)):
-        x = unit @ directions.T
+        x = np.einsum("nd,kd->nk", unit, directions)  # not a matrix product, whose last bits depend on the batch
         home = nearest_e8(x)
-        reach = np.argpartition(-((x - home) @ around.T), PROBES - 1, axis=1)[:, :PROBES]
+        reach = np.argsort(-np.einsum("nd,kd->nk", x - home, around), axis=1, kind="stable")[:, :PROBES]
         points = np.concatenate([home[:, None], home[:, None] + around[reach]], axis=1)
         out[:, t] = _cell_ids(points, np.broadcast_to(words.mix(space + np.uint64(t))[:, None], points.shape[:2]))
     return out
@@ -140,7 +140,7 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-_CELL_SCHEMA = "cell long, turn int, home boolean, item long, n long, label int, embedding array<float>"
+_CELL_SCHEMA = "cell long, turn int, home boolean, item long, n long, label long, embedding "
 
 
 def _join_classes(near: np.ndarray, label: np.ndarray, row: int) -> None:
@@ -164,7 +164,7 @@ def _links_in(group: pa.Table, cosine: float) -> tuple[list[int], list[int], lis
     for low in range(0, len(item), BLOCK):
         part = np.arange(low, min(low + BLOCK, len(item)))
         near = (x[part] @ x[homes].T) >= cosine
-        near &= item[part][:, None] < item[homes][None]
+        near &= (item[part][:, None] < item[homes][None]) & (label[part][:, None] == label[homes][None])
         if across:
             near &= block[part][:, None] != block[homes][None]
         left, right = np.nonzero(near)
@@ -227,14 +227,18 @@ def embedding_links(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
 
     Vectors are compared if their labels are equal and not null and their dimensions agree. Vectors that are
     null, empty or zero or hold null or non-finite components link with nothing. Equal vectors are linked.
+    Components keep their precision (float or else double); labels may be numbers or text.
     Rows that repeat an identifier are vectors of their own, each with its row. An empty table gives an
     empty result; other columns are ignored.
     """
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("int").alias("label"), F.when(~F.exists("embedding", lambda v: v.isNull()), F.col("embedding")).cast("array<float>").alias("embedding"))
-    keyed = rows.mapInArrow(_items, "vec_id long, item long, label int, embedding array<float>")
+    vector = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    whole = vectors.schema["label"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    label = F.col("label").cast("long") if whole else F.when(F.col("label").isNotNull(), F.xxhash64("label"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), label.alias("label"), F.when(~F.exists("embedding", lambda v: v.isNull()), F.col("embedding")).cast(vector).alias("embedding"))
+    keyed = rows.mapInArrow(_items, f"vec_id long, item long, label long, embedding {vector}")
     members = materialize(keyed.select("vec_id", "item"), "members")
     items = materialize(keyed.filter("item <> 0").groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("first_id"), F.any_value("label").alias("label"), F.any_value("embedding").alias("embedding")), "items")
-    placed = items.select("item", "n", "label", "embedding").mapInArrow(_cells, _CELL_SCHEMA)
+    placed = items.select("item", "n", "label", "embedding").mapInArrow(_cells, _CELL_SCHEMA + vector)
     hot = materialize(placed.groupBy("cell").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > block), "hot")
     blocks = F.coalesce(F.ceil(F.col("members") / block), F.lit(1)).cast("int")
     cut = placed.join(hot, "cell", "left").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("item", "cell"), F.col("blocks")).cast("int"))
@@ -248,7 +252,9 @@ def embedding_links(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
     classed = items.select("item", "n", "first_id").join(classes, "item", "left").withColumn("class", F.coalesce("component", "item"))
     least = classed.groupBy("class").agg(F.min("first_id").alias("component_id"))
     known = classed.join(least, "class").join(degree, "item", "left").select("item", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
-    out = members.join(known, "item", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    linked = known.filter((F.col("n_links") > 0))  # the others, and those of item 0, stay by themselves
+    out = members.filter("item <> 0").join(linked, "item", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
+    out = out.unionByName(members.filter("item = 0").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
