@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from orevein.operators.joins import small
 from orevein.session import load, materialize
 
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -68,7 +69,7 @@ def _cuts(rows: DataFrame, plan: DataFrame) -> DataFrame:
     found = plan.filter("need > 0").select("skey", F.lit("").alias("step"), "need")
     for digits in (2, 4, 32):
         at = found.withColumnRenamed("skey", "at_key")
-        inside = rows.join(at, (F.col("skey") == F.col("at_key")) & F.col("hkey").startswith(F.col("step")))
+        inside = rows.join(small(at), (F.col("skey") == F.col("at_key")) & F.col("hkey").startswith(F.col("step")))
         sums = inside.groupBy("skey", "need", F.substring("hkey", 1, digits).alias("p")).agg(F.sum("size").alias("words"))
         crossed = _crossing(sums, F.col("p"))
         found = crossed.select("skey", "step", "need")
@@ -95,7 +96,7 @@ def mix_sources(docs: DataFrame, **options) -> DataFrame:
     """
     rows, plan = mix_plan(docs, **options)
     further = F.when(F.col("hkey") < F.col("cut"), F.col("size")).when(F.col("hkey") == F.col("cut"), F.expr("rest * size div at_cut")).otherwise(0)
-    return rows.join(plan, "skey").select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + further).cast("long").alias("taken"))
+    return rows.join(small(plan), "skey").select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + further).cast("long").alias("taken"))
 
 
 def repeat_rows(docs: DataFrame, **options) -> DataFrame:
@@ -104,9 +105,9 @@ def repeat_rows(docs: DataFrame, **options) -> DataFrame:
     plan = mix_plan(docs, **options)[1]
     key = F.md5(F.concat(F.lit(f"{options.get('seed', SEED)}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     source = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("t"))
-    small = plan.select(F.col("skey").alias("__skey"), F.col("whole").alias("__whole"), F.when(F.col("rest") * 2 >= F.col("at_cut"), F.concat("cut", F.lit("~"))).otherwise(F.col("cut")).alias("__cut"))
+    cuts = plan.select(F.col("skey").alias("__skey"), F.col("whole").alias("__whole"), F.when(F.col("rest") * 2 >= F.col("at_cut"), F.concat("cut", F.lit("~"))).otherwise(F.col("cut")).alias("__cut"))
     times = F.col("__whole") + F.when(key < F.col("__cut"), 1).otherwise(0)
-    joined = docs.withColumn("__skey", source).join(small, "__skey").withColumn("__times", times.cast("int"))
+    joined = docs.withColumn("__skey", source).join(small(cuts), "__skey").withColumn("__times", times.cast("int"))
     return joined.withColumn("__n", F.explode(F.array_repeat(F.lit(1), F.col("__times")))).select(*columns)
 
 
