@@ -28,10 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orevein.llm import words
+from orevein.llm.numbering import numbered
 from orevein.session import load, materialize
 
 LENGTH = 100
@@ -305,20 +306,6 @@ def removed_bytes(n: int, intervals: list) -> np.ndarray:
     return np.cumsum(change[:n]) > 0
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """``doc_id, num, text`` where ``num`` is a distinct number in the order of documents: ``doc_id`` itself where that is one."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    total, different = rows.agg(F.count(F.lit(1)), F.count_distinct("doc_id")).first()
-    if total == different:
-        return rows.select("doc_id", F.col("doc_id").alias("num"), "text")
-    order = [F.asc_nulls_last("doc_id"), "text"]
-    parted = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("i", F.monotonically_increasing_id())
-    parted = materialize(parted.select("doc_id", "text", F.shiftright("i", 33).alias("part"), F.col("i").bitwiseAND(F.lit((1 << 33) - 1)).alias("i")), "numbered")
-    sizes = parted.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # one row a partition
-    ahead = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("ahead"))
-    return parted.join(F.broadcast(ahead), "part").select("doc_id", (F.col("ahead") + F.col("i")).alias("num"), "text")
-
-
 def removal_intervals(rows: DataFrame) -> DataFrame:
     """``num, intervals``: the string starts to be removed of each text that has some."""
     long_ = rows.filter(F.octet_length("text") >= LENGTH).select("num", "text")
