@@ -36,7 +36,7 @@ _FACTORS = words.mix(np.arange(101, 101 + SIGNATURE, dtype=np.uint64)) | np.uint
 
 def shared_buckets(rows: DataFrame) -> DataFrame:
     """The rows ``bucket, item`` (distinct) of buckets with at least two different items; of buckets with the same items one."""
-    distinct = rows.select("bucket", "item").distinct()
+    distinct = materialize(rows.select("bucket", "item").distinct(), "rows")  # read twice below, and dear to compute
     h = F.xxhash64("item")
     sets = distinct.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("a"), F.bit_xor(F.xxhash64(h, F.lit(1))).alias("b")).filter("n > 1")
     return distinct.join(sets.groupBy("n", "a", "b").agg(F.min("bucket").alias("bucket")).select("bucket"), "bucket")
@@ -222,12 +222,12 @@ def _verified(pairs: DataFrame, grams: DataFrame, similarity: float) -> DataFram
     return both.filter(F.col("n") * 1000 >= (F.size("ga") + F.size("gb") - F.col("n")) * need).select("a", "b")
 
 
-def fetch_grams(docs: DataFrame, owners: DataFrame, extract: Callable) -> DataFrame:
-    """``item, grams`` of the items in ``owners`` (``doc_id, item``), extracted again from the texts of those documents.
+def fetch_grams(docs: DataFrame, owners: DataFrame, extract: Callable, key: str = "doc_id") -> DataFrame:
+    """``item, grams`` of the items in ``owners`` (``key, item``), extracted again from the texts of those documents.
 
     ``extract`` maps batches of ``text, wanted`` (the document's items asked for) to batches of ``item, grams``.
     """
-    wanted = owners.groupBy(F.col("doc_id").alias("__own")).agg(F.collect_list("item").alias("wanted"))
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("__own")))
+    wanted = owners.groupBy(F.col(key).alias("__own")).agg(F.collect_list("item").alias("wanted"))
+    texts = docs.select(key, "text").join(wanted, F.col(key).eqNullSafe(F.col("__own")))
     rows = texts.select("text", "wanted").mapInArrow(extract, "item long, grams array<long>")
     return materialize(rows.dropDuplicates(["item"]), "grams")

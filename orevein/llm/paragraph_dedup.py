@@ -27,12 +27,14 @@ from pyspark.sql import functions as F
 from orevein.llm import words
 from orevein.llm.near_dedup import band_hashes, span_keys, text_keys, weighted
 from orevein.llm.nearlink import fetch_grams, link_classes, shared_buckets
-from orevein.session import load, materialize
+from orevein.llm.numbering import numbered
+from orevein.session import discard, load, materialize
 
 MIN_WORDS = 10
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 5, 2
+NUM_BITS, PIECE_BITS = 39, 24  # of a place: 5 * 10^11 texts, 16 million pieces of a text
 
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?"]] = True
@@ -85,32 +87,40 @@ def _paragraphs(hashes: np.ndarray, firsts: np.ndarray, whole: np.ndarray) -> tu
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each text with the sizes of its pieces, and one for each paragraph and window."""
+    """A row for each paragraph and window: its item, its place (number of the text and of the first piece) and, for a paragraph, its number of pieces."""
     for batch in batches:
+        nums = batch.column("num").to_numpy(zero_copy_only=False)
         for first, last, raw, ends in words.slices(batch.column("text")):
             _, hashes, firsts, doc, whole = pieces(raw, ends)
             at, _, item = _paragraphs(hashes, firsts, whole)
             count = np.diff(np.append(at, len(doc)))
             pair = np.flatnonzero(doc[1:] == doc[:-1])
             pair = pair[~np.isin(pair, at[count == 2])]  # those are paragraphs
-            n, bounds = last - first, np.searchsorted(doc, np.arange(last - first + 1))
-            number = np.arange(len(doc)) - bounds[doc]
-            piece = np.concatenate([at[item != 0], pair])
-            sizes = words.list_array(np.diff(firsts).astype(np.int32), bounds, pa.int32())
+            number = np.arange(len(doc)) - np.searchsorted(doc, np.arange(last - first + 1))[doc]
+            if number.max(initial=0) >> PIECE_BITS:
+                raise ValueError(f"a text has more than {1 << PIECE_BITS} pieces")
+            some = item != 0
+            piece = np.concatenate([at[some], pair])
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id").take(take := pa.array(np.concatenate([np.arange(n), doc[piece]]) + first)),
-                    batch.column("row").take(take),
-                    pa.array(np.concatenate([np.full(n, -1), number[piece]]).astype(np.int32)),
-                    pa.array(np.concatenate([np.zeros(n), count[item != 0], np.full(len(pair), 2)]).astype(np.int32)),
-                    pa.array(np.arange(n + len(piece)) < n + np.count_nonzero(item)),
-                    pa.array(np.concatenate([np.zeros(n, np.uint64), item[item != 0], span_keys(hashes, firsts[pair], firsts[pair + 2])]).astype(np.int64)),
-                    pa.concat_arrays([sizes, pa.nulls(len(piece), sizes.type)]),
+                    pa.array(np.concatenate([item[some], span_keys(hashes, firsts[pair], firsts[pair + 2])]).astype(np.int64)),
+                    pa.array((nums[first:last][doc[piece]] << PIECE_BITS) + number[piece]),
+                    pa.array(np.concatenate([count[some], np.zeros(len(pair))]).astype(np.int32)),
                 ],
-                names=["doc_id", "row", "number", "pieces", "paragraph", "item", "sizes"],
+                names=["item", "place", "pieces"],
             )
 
 
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's number of words by piece."""
+    for batch in batches:
+        for first, last, raw, ends in words.slices(batch.column("text")):
+            _, _, firsts, doc, _ = pieces(raw, ends)
+            bounds = np.searchsorted(doc, np.arange(last - first + 1))
+            own = [batch.column(c).slice(first, last - first) for c in ("doc_id", "num")]
+            yield pa.RecordBatch.from_arrays([*own, words.list_array(np.diff(firsts).astype(np.int32), bounds, pa.int32())], names=["doc_id", "num", "sizes"])
+
+
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, _, raw, ends in words.slices(batch.column("text")):
@@ -145,37 +155,37 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = SIMILARITY) -> Data
     Counts and numbers are those of pieces. ``n_repeated`` counts the ones in paragraphs and windows that occur
     elsewhere too, the first occurrences included; ``removed`` holds the numbers (from 0) of those to be
     removed. Null texts count as empty and have no pieces; rows that repeat an identifier are texts of their
-    own, in the order read, and null identifiers come last. Other columns are ignored; an empty table gives an
-    empty result.
+    own, in the order of their texts, and null identifiers come last. Other columns are ignored; an empty table
+    gives an empty result.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), "text")
-    seen = materialize(rows.mapInArrow(_occurrences, "doc_id long, row long, number int, pieces int, paragraph boolean, item long, sizes array<int>"), "paragraphs")
+    rows = numbered(docs, NUM_BITS)
+    parts = materialize(rows.select("num", "text").mapInArrow(_occurrences, "item long, place long, pieces int"), "parts")
     shared = materialize(shared_buckets(rows.select("text").mapInArrow(_buckets, "bucket long, item long")), "buckets")
-    parts = seen.filter("number >= 0").drop("sizes")
-    owners = parts.filter("paragraph").join(shared.select("item").distinct(), "item", "left_semi").groupBy("item").agg(F.min("doc_id").alias("doc_id"))
-    classes = link_classes(shared, fetch_grams(rows, owners, _grams), similarity)
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "number", "pieces")
-    contents = parts.groupBy("item").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
-    classed = contents.join(classes, "item", "left").withColumn("class", F.coalesce("component", "item"))
-    totals = classed.groupBy("class").agg(F.min("first").alias("first"), F.sum("n").alias("n")).filter("n > 1")
-    repeated = materialize(classed.select("item", "class").join(totals, "class").select("item", F.col("first.row").alias("first_row"), (F.col("first.number") + F.col("first.pieces")).alias("first_end")), "repeated")
-    # parts that overlap the first occurrence of what they repeat stay as it does
-    gone = (F.col("row") != F.col("first_row")) | (F.col("number") >= F.col("first_end"))
-    numbers = F.sequence("number", F.col("number") + F.col("pieces") - 1)
-    known = parts.join(repeated, "item").select("row", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("array<int>").alias("sizes"), numbers.alias("known"), F.when(gone, numbers).alias("gone"))
-    none = F.lit(None).cast("array<int>")
-    texts = seen.filter("number < 0").select("row", "doc_id", "sizes", none.alias("known"), none.alias("gone"))
-    out = texts.union(known).groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.first("sizes", ignorenulls=True).alias("sizes"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("known")))).alias("n_repeated"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("removed"),
-    )
+    number = lambda place: F.col(place).bitwiseAND(F.lit((1 << PIECE_BITS) - 1)).cast("int")
+    num = lambda place: F.shiftright(place, PIECE_BITS)
+    owners = parts.filter("pieces > 0").join(shared.select("item").distinct(), "item", "left_semi").groupBy("item").agg(F.min(num("place")).alias("num"))
+    grams = fetch_grams(rows, owners, _grams, "num")
+    classes = link_classes(shared, grams, similarity)
+    discard(shared, grams)
+    contents = parts.groupBy("item").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
+    several = classes.unionByName(classes.select(F.col("component").alias("item"), "component").distinct())
+    classed = contents.join(several, "item", "left").filter("n > 1 or component is not null")
+    classed = materialize(classed.select("item", "first", "n", F.coalesce("component", "item").alias("class")), "contents")
+    totals = classed.groupBy("class").agg(F.min("first").alias("first"))
+    repeated = materialize(classed.select("item", "class").join(totals, "class").select("item", "first"), "repeated")
+    # windows that overlap the first occurrence of what they repeat stay as it does
+    gone = (num("place") != num("first")) | (number("place") > number("first") + F.when(F.col("pieces") == 0, 1).otherwise(0))
+    known = parts.join(repeated, "item").select(num("place").alias("num"), F.struct(number("place").alias("at"), F.when(F.col("pieces") == 0, 2).otherwise(F.col("pieces")).alias("pieces"), gone.alias("gone")).alias("part"))
+    found = known.groupBy("num").agg(F.collect_list("part").alias("parts"))
+    numbers = lambda parts: F.array_sort(F.array_distinct(F.flatten(F.transform(parts, lambda p: F.sequence(p["at"], p["at"] + p["pieces"] - 1)))))
+    out = rows.mapInArrow(_sizes, "doc_id long, num long, sizes array<int>").join(found, "num", "left")
+    none = F.array().cast("array<int>")
+    out = out.withColumn("known", F.coalesce(numbers(F.col("parts")), none)).withColumn("removed", F.coalesce(numbers(F.filter("parts", lambda p: p["gone"])), none))
     total = lambda sizes: F.aggregate(sizes, F.lit(0).cast("long"), lambda a, x: a + x)
     return out.select(
         "doc_id",
         F.size("sizes").cast("long").alias("n_paragraphs"),
-        F.col("n_repeated").cast("long").alias("n_repeated"),
+        F.size("known").cast("long").alias("n_repeated"),
         F.size("removed").cast("long").alias("n_removed"),
         total(F.col("sizes")).alias("n_words"),
         total(F.transform("removed", lambda k: F.get("sizes", k))).alias("removed_words"),
