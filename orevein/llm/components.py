@@ -34,6 +34,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         edges = following
         now = edges.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first()
         if now == state:
-            return edges.select(F.col("u").alias("item"), F.col("v").alias("component"))
+            out = edges.select(F.col("u").alias("item"), F.col("v").alias("component"))
+            out._orevein_path = edges._orevein_path  # for ``discard``
+            return out
         state = now
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")

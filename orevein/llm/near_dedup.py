@@ -150,7 +150,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 def _decided(docs: DataFrame, similarity: float, digest: Column) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", digest.alias("digest"))
     keys = materialize(rows.mapInArrow(_keys, "doc_id long, digest string, item long").withColumn("row", F.monotonically_increasing_id()), "keys")
-    shared = materialize(shared_buckets(rows.select("text").mapInArrow(_buckets, "bucket long, item long")), "buckets")
+    shared = shared_buckets(rows.select("text").mapInArrow(_buckets, "bucket long, item long"))
     items = shared.select("item").distinct()
     owners = keys.join(items, "item", "left_semi").groupBy("item").agg(F.min("doc_id").alias("doc_id"))
     grams = fetch_grams(rows, owners, _grams)

@@ -36,10 +36,12 @@ _FACTORS = words.mix(np.arange(101, 101 + SIGNATURE, dtype=np.uint64)) | np.uint
 
 def shared_buckets(rows: DataFrame) -> DataFrame:
     """The rows ``bucket, item`` (distinct) of buckets with at least two different items; of buckets with the same items one."""
-    distinct = materialize(rows.select("bucket", "item").distinct(), "rows")  # read twice below, and dear to compute
+    distinct = materialize(rows.select("bucket", "item").distinct(), "rows")  # read twice, and dear to compute
     h = F.xxhash64("item")
     sets = distinct.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("a"), F.bit_xor(F.xxhash64(h, F.lit(1))).alias("b")).filter("n > 1")
-    return distinct.join(sets.groupBy("n", "a", "b").agg(F.min("bucket").alias("bucket")).select("bucket"), "bucket")
+    shared = materialize(distinct.join(sets.groupBy("n", "a", "b").agg(F.min("bucket").alias("bucket")).select("bucket"), "bucket"), "buckets")
+    discard(distinct)
+    return shared
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,10 +209,11 @@ def link_classes(shared: DataFrame, grams: DataFrame, similarity: float) -> Data
     """
     strong = materialize(_forests(shared, grams), "pairs")
     links = materialize(_verified(strong, grams, similarity), "links")
+    discard(strong)
     classes = connected_components(links)
     more = _across(shared, classes, grams, similarity)
     out = connected_components(links.union(more)) if more.take(1) else classes
-    discard(strong, links, more)
+    discard(links, more)
     return out
 
 

@@ -160,7 +160,7 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = SIMILARITY) -> Data
     """
     rows = numbered(docs, NUM_BITS)
     parts = materialize(rows.select("num", "text").mapInArrow(_occurrences, "item long, place long, pieces int"), "parts")
-    shared = materialize(shared_buckets(rows.select("text").mapInArrow(_buckets, "bucket long, item long")), "buckets")
+    shared = shared_buckets(rows.select("text").mapInArrow(_buckets, "bucket long, item long"))
     number = lambda place: F.col(place).bitwiseAND(F.lit((1 << PIECE_BITS) - 1)).cast("int")
     num = lambda place: F.shiftright(place, PIECE_BITS)
     owners = parts.filter("pieces > 0").join(shared.select("item").distinct(), "item", "left_semi").groupBy("item").agg(F.min(num("place")).alias("num"))
@@ -172,6 +172,7 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = SIMILARITY) -> Data
     classed = contents.join(several, "item", "left").filter("n > 1 or component is not null")
     classed = materialize(classed.select("item", "first", "n", F.coalesce("component", "item").alias("class")), "contents")
     totals = classed.groupBy("class").agg(F.min("first").alias("first"))
+    discard(classes)
     repeated = materialize(classed.select("item", "class").join(totals, "class").select("item", "first"), "repeated")
     # windows that overlap the first occurrence of what they repeat stay as it does
     gone = (num("place") != num("first")) | (number("place") > number("first") + F.when(F.col("pieces") == 0, 1).otherwise(0))

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from orevein.llm import words
 from orevein.llm.numbering import numbered
-from orevein.session import load, materialize
+from orevein.session import discard, load, materialize
 
 LENGTH = 100
 K = 48
@@ -326,7 +326,9 @@ def removal_intervals(rows: DataFrame) -> DataFrame:
     firsts = strings.groupBy("whole", "half").agg(F.min(F.struct("num", "at")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     split = strings.join(firsts, ["whole", "half"]).filter(F.struct("num", "at") != F.col("first")).select("num", F.col("at").alias("low"), (F.col("at") + 1).alias("high"))
     every = again.unionByName(compared).unionByName(split)
-    return materialize(every.groupBy("num").agg(F.collect_list(F.struct("low", "high")).alias("intervals")), "intervals")
+    intervals = materialize(every.groupBy("num").agg(F.collect_list(F.struct("low", "high")).alias("intervals")), "intervals")
+    discard(repeated, found, contents, cut, strings)
+    return intervals
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
