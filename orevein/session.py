@@ -29,9 +29,11 @@ _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset (tests)."""
+    """The folder that all executors share: ``spark.checkpoint.dir``; on one machine, where that is unset (tests), a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         application = spark.sparkContext.applicationId
         if application not in _own_dirs:
             _own_dirs[application] = "file://" + tempfile.mkdtemp(prefix="orevein-")
@@ -53,13 +55,18 @@ def materialize(df: DataFrame, tag: str = "t", partition_by: list[str] | None =
 
 
 def discard(*frames: DataFrame) -> None:
-    """Delete tables written by :func:`materialize` that nothing reads any more, and shuffle files left by finished jobs."""
+    """Delete tables written by :func:`materialize` that nothing reads any more, and shuffle files left by finished jobs.
+
+    Spark drops shuffle files once the driver's collector has found their plans gone, which may take long by itself.
+    """
     for df in frames:
         path = getattr(df, "_orevein_path", None)
         if path:
             jvm = df.sparkSession._jvm
             target = jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+    if frames:
+        frames[0].sparkSession._jvm.System.gc()
 
 
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
