@@ -5,18 +5,20 @@ from __future__ import annotations
 # --- fixed values: term extraction for BM25
 TERM_PATTERN = r"[a-z0-9]+(?:'[a-z]+)?|[\x{0C00}-\x{0C7F}]+|[\x{0900}-\x{097F}]+"
 TERM_STOP_WORDS = (
-    "a an the and or but if then than so of in on at to for from by with about as is are was were be been being "
-    "do does did have has had will would shall should can could may might must i me my we our you your he she it "
-    "they them their this that these those there here what which who whom whose when where why how s t am im ive "
-    "dont please tell know want"
-).split()
+    "a", "an", "the", "and", "or", "but", "if", "then", "than", "so", "of", "in", "on", "at", "to", "for", "from", "by", "with", "about", "as", "is",
+    "are", "was", "were", "be", "been", "being", "do", "does", "did", "have", "has", "had", "will", "would", "shall", "should", "can", "could", "may",
+    "might", "must", "i", "me", "my", "we", "our", "you", "your", "he", "she", "it", "they", "them", "their", "this", "that", "these", "those",
+    "there", "here", "what", "which", "who", "whom", "whose", "when", "where", "why", "how", "s", "t", "am", "im", "ive", "dont", "please", "tell",
+    "know", "want",
+)
 TERM_SUFFIXES = ("ies", "ing", "ed", "es", "s")
 
 # --- fixed values: extractive answers
 ANSWER_STOP_WORDS = (
-    "what who when where why how is are was were the a an and or of in on at to for from by with about do does did "
-    "can could would will tell me my i am his her their they he she please much many any have has had be been"
-).split()
+    "what", "who", "when", "where", "why", "how", "is", "are", "was", "were", "the", "a", "an", "and", "or", "of", "in", "on", "at", "to", "for",
+    "from", "by", "with", "about", "do", "does", "did", "can", "could", "would", "will", "tell", "me", "my", "i", "am", "his", "her", "their", "they",
+    "he", "she", "please", "much", "many", "any", "have", "has", "had", "be", "been",
+)
 
 # --- fixed values: BM25, fusion and selection
 K1, B = 1.5, 0.75
@@ -33,12 +35,12 @@ DEDUPE_PREFIX = 160
 CHUNK_SIZE, CHUNK_OVERLAP, MIN_CHUNK, PARENT_WINDOW, MAX_RECORD, MIN_LABEL_REPEATS = 700, 120, 80, 1800, 4000, 3
 
 # --- fixed values: caches, sessions, streams
-CACHE_THRESHOLD, CACHE_REPLACE, CACHE_SIZE, CACHE_TTL_S = 0.97, 0.995, 512, 900
+CACHE_THRESHOLD, CACHE_REPLACE, CACHE_SIZE, CACHE_TTL_S, ANSWER_THRESHOLD = 0.97, 0.995, 512, 900, 0.985
 SESSION_TTL_S, MEMORY_TURNS, METRIC_WINDOW = 3600, 8, 512
 PARTIAL_MIN_CHARS, PARTIAL_MIN_TOKENS, DEBOUNCE_MS, REUSE_THRESHOLD, RING = 12, 3, 180, 0.94, 3
 
 # --- fixed values: names
-HONORIFICS = "dr sri shri smt mr mrs ms prof kum".split()
+HONORIFICS = ("dr", "sri", "shri", "smt", "mr", "mrs", "ms", "prof", "kum")
 
 # --- fixed values: text cleaning, in the order applied
 REPLACEMENTS = (

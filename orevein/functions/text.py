@@ -20,21 +20,19 @@ def stem(token: Column) -> Column:
     for suffix in reversed(K.TERM_SUFFIXES):
         n = len(suffix)
         out = F.when(token.endswith(suffix) & (F.length(token) - n >= 3), token.substr(F.lit(1), F.length(token) - n)).otherwise(out)
-    return F.when(F.length(token) > 4, out).otherwise(token)
+    return F.when((F.length(token) > 4) & F.right(token, F.lit(1)).isin("s", "g", "d"), out).otherwise(token)
 
 
 def terms(text: Column) -> Column:
     """BM25 terms: lower case, stop words dropped before stemming."""
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(K.TERM_PATTERN), F.lit(0))
-    stop = strings(K.TERM_STOP_WORDS)
-    return F.transform(F.filter(found, lambda t: ~F.array_contains(stop, t)), stem)
+    return F.transform(F.filter(found, lambda t: ~t.isin(*K.TERM_STOP_WORDS)), stem)
 
 
 def answer_tokens(text: Column) -> Column:
     """The set of longer words without stop words that extractive answers compare."""
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
-    stop = strings(K.ANSWER_STOP_WORDS)
-    return F.array_distinct(F.filter(found, lambda t: (F.length(t) > 2) & ~F.array_contains(stop, t)))
+    return F.array_distinct(F.filter(found, lambda t: (F.length(t) > 2) & ~t.isin(*K.ANSWER_STOP_WORDS)))
 
 
 def clean(text: Column) -> Column:
@@ -85,30 +83,34 @@ def tidy(text: Column) -> Column:
     return F.when((flat == "") | flat.rlike("[.!?]$"), flat).otherwise(F.concat(flat, F.lit(".")))
 
 
+# --- fixed values: what a speech engine shouldn't read, in the order replaced
+SPEECH_RULES = (
+    (r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{1F1E6}-\x{1F1FF}]+", ""),
+    (r"\[\d{1,2}\]", ""),
+    (r"\*\*\*(.+?)\*\*\*", "$1"),
+    (r"\*\*(.+?)\*\*", "$1"),
+    (r"\*(.+?)\*", "$1"),
+    (r"__(.+?)__", "$1"),
+    (r"(?s)`{1,3}(.+?)`{1,3}", "$1"),
+    (r"(?m)^#{1,6}\s+", ""),
+    (r"\[(.+?)\]\((?:.+?)\)", "$1"),
+    (r"(?m)^\s*[-*+•]\s+", ""),
+    (r"(?m)^\s*\d+[.)]\s+", ""),
+    (r"\|", ", "),
+    (r"[#>]", ""),
+    (r"\bRs\.?\s*", "rupees "),
+    (r"\n\s*\n", ". "),
+    (r"\s+", " "),
+    (r"\s+([.,!?])", "$1"),
+    (r"\.{2,}", "."),
+    (r"^\s+|\s+$", ""),
+)
+
+
 def speech_text(text: Column) -> Column:
     """What a speech engine should read: no emoji, citation markers or Markdown; currency spelled out."""
     out = F.coalesce(text, F.lit(""))
-    for pattern, to in (
-        (r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{1F1E6}-\x{1F1FF}]+", ""),
-        (r"\[\d{1,2}\]", ""),
-        (r"\*\*\*(.+?)\*\*\*", "$1"),
-        (r"\*\*(.+?)\*\*", "$1"),
-        (r"\*(.+?)\*", "$1"),
-        (r"__(.+?)__", "$1"),
-        (r"(?s)`{1,3}(.+?)`{1,3}", "$1"),
-        (r"(?m)^#{1,6}\s+", ""),
-        (r"\[(.+?)\]\((?:.+?)\)", "$1"),
-        (r"(?m)^\s*[-*+•]\s+", ""),
-        (r"(?m)^\s*\d+[.)]\s+", ""),
-        (r"\|", ", "),
-        (r"[#>]", ""),
-        (r"\bRs\.?\s*", "rupees "),
-        (r"\n\s*\n", ". "),
-        (r"\s+", " "),
-        (r"\s+([.,!?])", "$1"),
-        (r"\.{2,}", "."),
-        (r"^\s+|\s+$", ""),
-    ):
+    for pattern, to in SPEECH_RULES:
         out = F.regexp_replace(out, pattern, to)
     return out
 

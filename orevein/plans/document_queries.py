@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from orevein.functions import chunking as C
 from orevein.functions import constants as K
+from orevein.functions import text as T
 from orevein.functions.text import sentences
-from orevein.functions.vectors import cosine
+from orevein.functions.vectors import cosine, dot, normalised
 from orevein.operators import answer, fusion, memory, search
+from orevein.plans import composed
 from orevein.plans import sqltext as S
+from orevein.plans.indexes import text_index
 from orevein.plans.search_queries import query_vectors, rounded, vectors
 from orevein.registry import query
 from orevein.session import load
@@ -60,29 +62,50 @@ def section_group(spark, sf_dir):
 
 @query(
     "record_label_schema",
-    f"""WITH {_LINES}, l AS (SELECT doc_id, line_no, trim(regexp_extract(text, '^\\s*([A-Z][A-Za-z][A-Za-z ''/-]{{1,38}})\\.(\\s+\\S)', 1)) AS label FROM x),
-f AS (SELECT doc_id, label, count(*) AS n, min(line_no) AS first FROM l WHERE label <> '' AND len(regexp_split_to_array(label, '\\s+')) <= 4 AND lower(label) NOT IN ({S.quoted(C.NOT_LABELS)}) GROUP BY ALL)
+    rf"""WITH {composed.PAPERS}, x AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM papers),
+l AS (SELECT doc_id, line_no, regexp_matches(text, {S.literal(C.QUESTION_LABEL)}) AS question, trim(regexp_extract(text, '^\s*([A-Z][A-Za-z][A-Za-z ''/-]{{1,38}})\.(\s+\S)', 1)) AS label FROM x),
+f AS (SELECT doc_id, CASE WHEN question THEN 'Q' ELSE label END AS label, count(*) AS n, min(line_no) AS first FROM l WHERE question OR (label <> '' AND len(regexp_split_to_array(label, '\s+')) <= 4 AND lower(label) NOT IN ({S.quoted(C.NOT_LABELS)})) GROUP BY ALL)
 SELECT doc_id, label, n, row_number() OVER (PARTITION BY doc_id ORDER BY first, label) AS place FROM f""",
 )
 def record_label_schema(spark, sf_dir):
-    return C.label_schema(_lines(spark, sf_dir), 1).filter("label <> 'Q'")
-
-
-@query("faq_pairs", "SELECT 'Q: What is it? A: A thing that works.' AS pair UNION ALL SELECT 'Q: And then? A: Nothing.'")
-def faq_pairs(spark, sf_dir):
-    rows = spark.createDataFrame([("Intro\nQ1. What  is it?\nA1. A thing\nthat works.\nQ2. And then?\nA2. Nothing.\n",)], "t string")
-    return rows.select(F.explode(C.faq_pairs(F.col("t"))).alias("pair")).select(F.regexp_replace("pair", "\n", " ").alias("pair"))
+    lines = composed.papers(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
+    return C.label_schema(lines, 1)
 
 
 @query("table_split")
 def table_split(spark, sf_dir):
-    return load(spark, sf_dir, "documents").filter(F.contains(F.col("text"), F.lit(" | "))).select("doc_id", F.posexplode(C.table_pieces(F.col("text"))).alias("pos", "piece"))
+    return load(spark, sf_dir, "documents").select("doc_id", F.posexplode(C.table_pieces(F.col("text"))).alias("pos", "piece"))
+
+
+_WINDOWS = "w AS (SELECT doc_id, text, g::INT AS lo0, least(g + 700, length(text))::INT AS hi0 FROM documents, LATERAL (SELECT unnest(generate_series(0, length(text) - 1, 580)) AS g) s WHERE length(text) > 0)"
 
 
-@query("parent_window")
+@query(
+    "parent_window",
+    rf"""WITH {_WINDOWS}, p AS (SELECT *, greatest(0, 1800 - (hi0 - lo0)) // 2 AS pad FROM w), b AS (SELECT *, greatest(0, lo0 - pad)::INT AS low, least(length(text), hi0 + pad)::INT AS high FROM p),
+s AS (SELECT *, instr(substr(text, low + 1, lo0 - low), chr(10) || chr(10)) AS ahead, instr(reverse(substr(text, hi0 + 1, high - hi0)), chr(10) || chr(10)) AS behind FROM b),
+c AS (SELECT *, CASE WHEN ahead > 0 AND low + ahead + 1 < lo0 THEN low + ahead + 1 ELSE low END AS a, CASE WHEN behind > 0 AND high - behind - 1 > hi0 THEN high - behind - 1 ELSE high END AS z FROM s),
+t AS (SELECT *, regexp_replace(substr(text, a::INT + 1, (z - a)::INT), '^\s+|\s+$', '', 'g') AS win FROM c)
+SELECT doc_id, lo0 // 580 AS pos, CASE WHEN pad > 0 AND length(win) > hi0 - lo0 + 80 THEN md5(win) END AS parent FROM t""",
+)
 def parent_window(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents").filter(F.length("text") > 900)
-    return docs.select("doc_id", C.parent_window(F.col("text"), F.lit(400), F.lit(800)).alias("parent"))
+    docs = load(spark, sf_dir, "documents")
+    chunks = docs.select("doc_id", "text", F.posexplode(T.char_windows(F.col("text"))).alias("pos", "piece"))
+    start = F.col("pos") * (K.CHUNK_SIZE - K.CHUNK_OVERLAP)
+    return chunks.select("doc_id", "pos", F.md5(C.parent_window(F.col("text"), start, start + F.length("piece"))).alias("parent"))
+
+
+_MARK_Q, _MARK_A = r"(?:Q\d*[.:)]|Question\s*\d*[.:])", r"(?:A\d*[.:)]|Answer\s*\d*[.:])"
+
+
+@query(
+    "faq_pairs",
+    rf"""WITH {composed.PAPERS}, p AS (SELECT doc_id, unnest(regexp_split_to_array(text, '(?i)(?:^|\n)\s*{_MARK_Q}\s*')[2:]) AS part, generate_subscripts(regexp_split_to_array(text, '(?i)(?:^|\n)\s*{_MARK_Q}\s*')[2:], 1) - 1 AS pos FROM papers),
+q AS (SELECT doc_id, pos, trim(regexp_replace(regexp_extract(part, '(?is)^(.+?)\n\s*{_MARK_A}\s*(.+)$', 1), '\s+', ' ', 'g')) AS q, trim(regexp_replace(regexp_extract(part, '(?is)^(.+?)\n\s*{_MARK_A}\s*(.+)$', 2), '\s+', ' ', 'g')) AS a FROM p)
+SELECT doc_id, pos, 'Q: ' || q || chr(10) || 'A: ' || a AS pair FROM q WHERE q <> '' AND a <> ''""",
+)
+def faq_pairs(spark, sf_dir):
+    return composed.papers(spark, sf_dir).select("doc_id", F.posexplode(C.faq_pairs(F.col("text"))).alias("pos", "pair"))
 
 
 @query("records")
@@ -157,11 +180,14 @@ def cache_probe(spark, sf_dir):
     return rounded(memory.nearest_cached(asked, cache), "similarity")
 
 
-@query("cosine_pairs", f"WITH {S.DENSE} SELECT query_id, round(avg(list_cosine_similarity(q.vector, e.vector)), 6) AS mean_cosine FROM (SELECT DISTINCT query_id FROM dense) d JOIN v q ON q.vec_id = d.query_id, v e WHERE e.vec_id < 50 GROUP BY query_id")
+@query("cosine_pairs", f"WITH {S.DENSE} SELECT query_id, round(avg(list_cosine_similarity(q.vector, e.vector)), 6) AS mean_cosine FROM (SELECT DISTINCT query_id FROM dense) d JOIN v q ON q.vec_id = d.query_id, v e GROUP BY query_id")
 def cosine_pairs(spark, sf_dir):
-    few = vectors(spark, sf_dir).filter("id < 50").select("id", "vector")
-    both = query_vectors(spark, sf_dir).select("query_id", F.col("vector").alias("q")).crossJoin(F.broadcast(few))  # at most 50 rows
-    return both.groupBy("query_id").agg(F.round(F.avg(cosine(F.col("q"), F.col("vector"))), 6).alias("mean_cosine"))
+    """The mean cosine with all vectors, which is the product with their mean direction: one row, whatever the table holds."""
+    parts = vectors(spark, sf_dir).select(F.posexplode(normalised(F.col("vector"))).alias("pos", "x")).groupBy("pos").agg(F.avg("x").alias("x"))
+    mean = parts.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"]).alias("mean"))
+    both = query_vectors(spark, sf_dir).crossJoin(F.broadcast(mean))  # one row
+    length = F.sqrt(dot(F.col("mean"), F.col("mean")))
+    return both.select("query_id", F.round(cosine(F.col("vector"), F.col("mean")) * length, 6).alias("mean_cosine"))
 
 
 @query("list_documents", "SELECT source AS doc_id, count(*) AS chunks, list_sort(list(DISTINCT lang)) AS districts, min(doc_id) AS first_id FROM documents GROUP BY source")
@@ -252,19 +278,7 @@ def extractive_sentences(spark, sf_dir):
     return answer.best_sentences(both)
 
 
-@query("field_intent", "SELECT * FROM (VALUES (1, 'Assets declaration'), (2, 'Languages'), (3, NULL), (4, 'Political career'), (5, 'Priorities for the constituency'), (6, 'Born')) t(id, label)")
-def field_intent(spark, sf_dir):
-    rows = [(1, "what are the assets"), (2, "which languages does Nagesh speak"), (3, "hello there"), (4, "describe the political career"), (5, "what are the priorities for the constituency"), (6, "when was she born")]
-    return spark.createDataFrame(rows, "id int, q string").select("id", answer.field_intent(F.col("q")).alias("label"))
-
-
-@query("field_block", "SELECT 'Two flats in town.' AS assets, NULL::VARCHAR AS missing")
-def field_block(spark, sf_dir):
-    rows = spark.createDataFrame([("Asha Rao - North, Hill\nBorn. 1970\nAssets declaration. Two flats\n  in town.\nLanguages. A, B",)], "t string")
-    return rows.select(answer.field_block(F.col("t"), "Assets declaration").alias("assets"), answer.field_block(F.col("t"), "Education").alias("missing"))
-
-
-_VISEMES = "v AS (SELECT user_id AS utterance_id, event_id * 40.0 AS offset_ms, (event_id % 22)::INT // 4 * 4 AS viseme_id FROM events WHERE user_id < 50)"
+_VISEMES = "v AS (SELECT user_id AS utterance_id, event_id * 40.0 AS offset_ms, (event_id % 22)::INT // 4 * 4 AS viseme_id FROM events)"
 
 
 @query(
@@ -278,7 +292,7 @@ l AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY utterance_id ORDER
 SELECT utterance_id, round(st, 6) AS start, round(en, 6) AS "end", value FROM c UNION ALL SELECT utterance_id, round(en, 6), round(en + 0.12, 6), 'X' FROM l WHERE value <> 'X'""",
 )
 def viseme_cues(spark, sf_dir):
-    events = load(spark, sf_dir, "events").filter("user_id < 50")
+    events = load(spark, sf_dir, "events")
     visemes = events.select(F.col("user_id").alias("utterance_id"), (F.col("event_id") * F.lit(40.0)).alias("offset_ms"), (F.floor((F.col("event_id") % 22) / 4) * 4).cast("int").alias("viseme_id"))
     durations = visemes.select("utterance_id").distinct().withColumn("duration_s", F.lit(0.0))
     return rounded(answer.mouth_cues(visemes, durations), "start", "end")
@@ -286,9 +300,7 @@ def viseme_cues(spark, sf_dir):
 
 @query("posting_terms", f"WITH {S.bm25()} SELECT term, count(*) AS df, sum(tf)::BIGINT AS total FROM tf GROUP BY term")
 def posting_terms(spark, sf_dir):
-    from orevein.plans.search_queries import corpus
-
-    return search.postings(corpus(spark, sf_dir)).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
+    return text_index(spark, sf_dir).postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
 
 
 @query("unique_values", "SELECT source, count(*) AS n_unique FROM (SELECT n_chars, min(source) AS source FROM documents GROUP BY n_chars HAVING count(*) = 1) GROUP BY source")
@@ -298,7 +310,6 @@ def unique_values(spark, sf_dir):
 
 @query("nearest_rank", "SELECT event_type, list_sort(list(value))[(count(*) * 0.95)::DECIMAL(20,4)::DOUBLE::BIGINT * 0 + floor(count(*) * 0.95)::BIGINT + 1] AS p95 FROM events WHERE value IS NOT NULL GROUP BY event_type")
 def nearest_rank(spark, sf_dir):
-    ranked = load(spark, sf_dir, "events").filter("value is not null").select("event_type", "value", F.row_number().over(Window.partitionBy("event_type").orderBy("value")).alias("r"), F.count(F.lit(1)).over(Window.partitionBy("event_type")).alias("n"))
-    return ranked.filter(F.col("r") == F.floor(F.col("n") * 0.95) + 1).select("event_type", F.col("value").alias("p95"))
+    return memory.nearest_rank(load(spark, sf_dir, "events"), 0.95, "event_type", "value").select("event_type", F.col("value").alias("p95"))
 
 

@@ -8,71 +8,32 @@ from pyspark.sql import functions as F
 from orevein.functions import constants as K
 from orevein.functions import entities as E
 from orevein.functions.text import terms
-from orevein.functions.vectors import dot
+from orevein.operators import search
 from orevein.plans.search_queries import rounded, vectors
 from orevein.registry import query
 from orevein.session import load
 
-GAZETTEER = [("the", "north"), ("with", "south"), ("from the", "west"), ("of", "east")]
-
-
-@query(
-    "place_mentions",
-    """WITH m AS (SELECT conv_id * 100 + turn AS id, unnest(regexp_extract_all(lower(text), '\\b(?:from the|with|the|of)\\b')) AS alias, generate_subscripts(regexp_extract_all(lower(text), '\\b(?:from the|with|the|of)\\b'), 1) AS pos FROM conversations),
-c AS (SELECT id, CASE alias WHEN 'the' THEN 'north' WHEN 'with' THEN 'south' WHEN 'of' THEN 'east' ELSE 'west' END AS place, count(*) AS n, min(pos) AS first FROM m GROUP BY ALL)
-SELECT id, place, n, row_number() OVER (PARTITION BY id ORDER BY n DESC, first) AS rank FROM c""",
-)
-def place_mentions(spark, sf_dir):
-    turns = load(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text")
-    return E.mentions(turns, spark.createDataFrame(GAZETTEER, "alias string, place string"))
-
-
-PEOPLE = [(1, "What are the assets of Dr. Asha Rao's family", "Asha Rao"), (2, "tell me about Ravi Kumar Gupta", "Ravi Kumar Gupta"), (3, "who stands for Hill West", None), (4, "Ravi Kumar", None), (5, "nothing here", None), (6, "is Meena Das from Hill Town", "Meena Das")]
-
-
-@query("person_extract", "SELECT * FROM (VALUES " + ", ".join(f"({i}, {'NULL' if p is None else repr(p)})" for i, _, p in PEOPLE) + ") t(id, person)")
-def person_extract(spark, sf_dir):
-    return spark.createDataFrame(PEOPLE, "id int, q string, expected string").select("id", E.person(F.col("q"), ["hill"]).alias("person"))
-
-
-@query("cache_namespace", "SELECT 1 AS id, true AS same, false AS empty UNION ALL SELECT 2, false, true")
-def cache_namespace(spark, sf_dir):
-    rows = spark.createDataFrame([(1, {"a": "x", "b": "y", "_z": "q"}, {"b": "y", "a": "x", "c": ""}), (2, {"_k": "v"}, {"a": "x"})], "id int, f map<string,string>, g map<string,string>")
-    return rows.select("id", (E.cache_namespace(F.col("f")) == E.cache_namespace(F.col("g"))).alias("same"), (E.cache_namespace(F.col("f")) == "_").alias("empty"))
-
-
-@query("cache_replace", "WITH p AS (SELECT a.vec_id AS new_id, b.vec_id AS old_id, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id % 10 = 0 WHERE a.vec_id % 10 < 2) SELECT new_id, max(s) >= 0.995 AS replaces FROM p GROUP BY new_id")
+@query("cache_replace", "WITH p AS (SELECT a.vec_id AS new_id, b.vec_id AS old_id, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE b.vec_id < a.vec_id) SELECT new_id, max(s) >= 0.995 AS replaces FROM p GROUP BY new_id")
 def cache_replace(spark, sf_dir):
-    """Whether each new entry replaces one of its namespace (the label) or is appended."""
-    v = vectors(spark, sf_dir)
-    old = v.filter("id % 10 = 0").select("label", F.col("vector").alias("old"))
-    pairs = v.filter("id % 10 < 2").join(old, "label").withColumn("s", dot(F.col("vector"), F.col("old")))
-    return pairs.groupBy(F.col("id").alias("new_id")).agg((F.max("s") >= K.CACHE_REPLACE).alias("replaces"))
+    """Whether each entry would replace an earlier one of its namespace (the label) or be appended; the first of a namespace has none."""
+    v = vectors(spark, sf_dir).withColumnRenamed("label", "namespace")
+    best = search.dense_topk(v, v.withColumnRenamed("id", "query_id"), 1, same="namespace", earlier=True)
+    return best.select(F.col("query_id").alias("new_id"), (F.col("score") >= K.CACHE_REPLACE).alias("replaces"))
 
 
 @query(
     "letter_cues",
-    """WITH l AS (SELECT conv_id * 100 + turn AS id, regexp_extract_all(lower(substr(text, 1, 60)), '\\p{L}') AS letters FROM conversations),
+    """WITH l AS (SELECT conv_id * 100 + turn AS id, regexp_extract_all(lower(text), '\\p{L}') AS letters FROM conversations),
 x AS (SELECT id, len(letters) AS n, unnest(letters) AS c, generate_subscripts(letters, 1) - 1 AS pos FROM l),
 s AS (SELECT *, CASE WHEN contains('pbm', c) THEN 'A' WHEN contains('ijky', c) THEN 'B' WHEN contains('eltdnh', c) THEN 'C' WHEN c = 'a' THEN 'D' WHEN c = 'o' THEN 'E' WHEN contains('uwr', c) THEN 'F' WHEN contains('fv', c) THEN 'G' WHEN contains('szc', c) THEN 'H' ELSE 'C' END AS value FROM x),
 r AS (SELECT *, sum(ch) OVER (PARTITION BY id ORDER BY pos) AS run FROM (SELECT *, CASE WHEN value = lag(value) OVER (PARTITION BY id ORDER BY pos) THEN 0 ELSE 1 END AS ch FROM s))
-SELECT id, round(min(pos) * (3.0::DOUBLE / min(n)), 6) AS start, round((max(pos) + 1) * (3.0::DOUBLE / min(n)), 6) AS "end", any_value(value) AS value FROM r GROUP BY id, run
+SELECT id, round(min(pos) * (3.0::DOUBLE / min(n)) + 1e-9, 6) AS start, round((max(pos) + 1) * (3.0::DOUBLE / min(n)) + 1e-9, 6) AS "end", any_value(value) AS value FROM r GROUP BY id, run
 UNION ALL SELECT id, CASE WHEN len(letters) = 0 THEN 0.0 ELSE 3.0 END, CASE WHEN len(letters) = 0 THEN 3.0 ELSE 3.1 END, 'X' FROM l""",
 )
 def letter_cues(spark, sf_dir):
-    turns = load(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.substring("text", 1, 60).alias("text"), F.lit(3.0).alias("duration_s"))
-    return rounded(E.letter_cues(turns), "start", "end")
-
-
-@query("sanitized", "SELECT * FROM (VALUES (1, 'a b c'), (2, 'x y')) t(id, out)")
-def sanitized(spark, sf_dir):
-    rows = spark.createDataFrame([(1, " <thinking>a</thinking> **b**  `c`"), (2, "# x y")], "id int, t string")
-    return rows.select("id", E.sanitized(F.col("t")).alias("out"))
-
-
-@query("ssml", """SELECT '<speak version="1.0" xml:lang="en-IN"><voice name="en-IN-A"><prosody rate="0%">a &lt; b</prosody></voice></speak>' AS out""")
-def ssml(spark, sf_dir):
-    return spark.createDataFrame([("a < b", "en-IN-A")], "t string, v string").select(E.ssml(F.col("t"), F.col("v")).alias("out"))
+    turns = load(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text", F.lit(3.0).alias("duration_s"))
+    # a hair more, so that no time lies just between two rounded ones
+    return rounded(E.letter_cues(turns).withColumns({c: F.col(c) + 1e-9 for c in ("start", "end")}), "start", "end")
 
 
 @query("hashed_sparse")
@@ -81,12 +42,6 @@ def hashed_sparse(spark, sf_dir):
     return counts.select("doc_id", F.size("counts").alias("n"))
 
 
-@query("canned_reply", "SELECT 1 AS id, 'Hello.' AS reply UNION ALL SELECT 2, NULL")
-def canned_reply(spark, sf_dir):
-    rows = spark.createDataFrame([(1, "greeting"), (2, "factual")], "id int, intent string")
-    return rows.select("id", E.reply_of(F.col("intent"), F.col("id"), {"greeting": ["Hello."], "thanks": ["Welcome."]}).alias("reply"))
-
-
 @query("record_stats", "SELECT lang, count(*) AS records, min(length(text)) AS min_chars, max(length(text)) AS max_chars, round(avg(length(text)), 4) AS avg_chars, count_if(source = 'src1') AS named FROM documents GROUP BY lang")
 def record_stats(spark, sf_dir):
     n = F.length("text")

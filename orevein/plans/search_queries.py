@@ -11,15 +11,11 @@ from orevein.functions.vectors import display_score
 from orevein.operators import fusion, search
 from orevein.operators.joins import small
 from orevein.plans import sqltext as S
+from orevein.plans.indexes import text_index
 from orevein.registry import query
 from orevein.session import load
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents")
-    return docs.select(F.col("doc_id").alias("id"), "lang", "source", terms(F.col("text")).alias("terms")).withColumn("dl", F.size("terms"))
-
-
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text", terms(F.col("text")).alias("terms"))
 
@@ -39,7 +35,7 @@ def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
 
 @query("tokenize_terms", f"SELECT doc_id, array_to_string({S.terms('text')}, ' ') AS terms, len({S.terms('text')}) AS dl FROM documents")
 def tokenize_terms(spark, sf_dir):
-    return load(spark, sf_dir, "documents").select("doc_id", F.array_join(terms(F.col("text")), " ").alias("terms"), F.size(terms(F.col("text"))).cast("long").alias("dl"))
+    return load(spark, sf_dir, "documents").select("doc_id", terms(F.col("text")).alias("t")).select("doc_id", F.array_join("t", " ").alias("terms"), F.size("t").cast("long").alias("dl"))
 
 
 @query(
@@ -47,21 +43,21 @@ def tokenize_terms(spark, sf_dir):
     f"WITH {S.bm25()} SELECT count(*) AS n, round(avg(len(terms)), 6) AS avgdl, sum(len(terms))::BIGINT AS total_length, (SELECT count(*) FROM df) AS vocabulary, (SELECT max(df) FROM df) AS max_df FROM d",
 )
 def bm25_corpus_stats(spark, sf_dir):
-    docs = corpus(spark, sf_dir)
-    df = search.postings(docs).groupBy("term").agg(F.count(F.lit(1)).alias("df")).agg(F.count(F.lit(1)).alias("vocabulary"), F.max("df").alias("max_df"))
-    return docs.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("dl"), 6).alias("avgdl"), F.sum("dl").alias("total_length")).crossJoin(F.broadcast(df))  # two rows in all
+    index = text_index(spark, sf_dir)
+    df = index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).agg(F.count(F.lit(1)).alias("vocabulary"), F.max("df").alias("max_df"))
+    return index.lengths.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("dl"), 6).alias("avgdl"), F.sum("dl").alias("total_length")).crossJoin(F.broadcast(df))  # two rows in all
 
 
 @query("bm25_topk", f"WITH {S.bm25()} SELECT query_id, id, rank, round(score, 6) AS score FROM {S.top('(SELECT query_id, id, round(score, 9) AS score FROM bm25)', 30)}")
 def bm25_topk(spark, sf_dir):
-    scores = rounded(search.bm25_scores(corpus(spark, sf_dir), asked(spark, sf_dir)), "score", digits=9)
+    scores = rounded(search.bm25_scores(text_index(spark, sf_dir), asked(spark, sf_dir)), "score", digits=9)
     return rounded(search.top_k(scores, K.BRANCH_TOP_K), "score")
 
 
 @query("bm25_topk_filtered", f"WITH {S.bm25('''lang = 'en' AND source IN ('src1', 'src2', 'src3')''')} SELECT query_id, id, rank, round(score, 6) AS score FROM {S.top('(SELECT query_id, id, round(score, 9) AS score FROM bm25)', 30)}")
 def bm25_topk_filtered(spark, sf_dir):
-    allowed = (F.col("lang") == "en") & F.col("source").isin("src1", "src2", "src3")
-    scores = rounded(search.bm25_scores(corpus(spark, sf_dir), asked(spark, sf_dir), allowed), "score", digits=9)
+    allowed = load(spark, sf_dir, "documents").filter((F.col("lang") == "en") & F.col("source").isin("src1", "src2", "src3")).select(F.col("doc_id").alias("id"))
+    scores = rounded(search.bm25_scores(text_index(spark, sf_dir), asked(spark, sf_dir), allowed), "score", digits=9)
     return rounded(search.top_k(scores, K.BRANCH_TOP_K), "score")
 
 
@@ -91,7 +87,7 @@ def candidate_threshold(spark, sf_dir):
 
 
 def _branches(spark, sf_dir) -> DataFrame:
-    sparse = search.top_k(rounded(search.bm25_scores(corpus(spark, sf_dir), asked(spark, sf_dir)), "score", digits=9), K.BRANCH_TOP_K)
+    sparse = search.top_k(rounded(search.bm25_scores(text_index(spark, sf_dir), asked(spark, sf_dir)), "score", digits=9), K.BRANCH_TOP_K)
     dense = search.dense_topk(vectors(spark, sf_dir), query_vectors(spark, sf_dir))
     return fusion.branch(dense, "dense", K.DENSE_WEIGHT).unionByName(fusion.branch(sparse, "bm25", K.SPARSE_WEIGHT))
 
@@ -166,12 +162,12 @@ def metadata_boost(spark, sf_dir):
 
 @query(
     "literal_lookup",
-    """WITH l AS (SELECT item_id AS query_id, lower(substr(text, 1, 24)) AS v FROM benchmark)
+    """WITH l AS (SELECT item_id AS query_id, lower(text) AS v FROM benchmark WHERE text <> '')
 SELECT query_id, doc_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rank FROM l JOIN documents ON contains(lower(text), v) QUALIFY rank <= 20""",
 )
 def literal_lookup(spark, sf_dir):
     docs, items = load(spark, sf_dir, "documents", "benchmark")
-    literals = items.select(F.col("item_id").alias("query_id"), F.array(F.substring("text", 1, 24)).alias("variants"))
+    literals = items.select(F.col("item_id").alias("query_id"), F.array("text").alias("variants"))
     return search.literal_hits(docs.select(F.col("doc_id").alias("id"), "text"), literals)
 
 
@@ -183,9 +179,9 @@ h AS (SELECT query_id, id, score, false AS relaxed FROM o WHERE fits UNION ALL S
 SELECT query_id, id, rank, relaxed FROM {S.top("h", 5)}""",
 )
 def filter_relaxation(spark, sf_dir):
-    docs = corpus(spark, sf_dir)
+    docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source")
     queries = asked(spark, sf_dir)
-    scores = rounded(search.bm25_scores(docs, queries), "score", digits=9).join(docs.select("id", "source"), "id")
+    scores = rounded(search.bm25_scores(text_index(spark, sf_dir), queries), "score", digits=9).join(docs, "id")
     fits = F.col("source") == F.concat(F.lit("src"), (F.col("query_id") % 40).cast("string"))
     both = search.relax(search.top_k(scores.filter(fits), K.TOP_K), search.top_k(scores, K.TOP_K), queries)
     return both.select("query_id", "id", "rank", "relaxed")

@@ -3,12 +3,32 @@
 from __future__ import annotations
 
 from orevein.functions import constants as K
+from orevein.functions import places as P
 
 
 def quoted(values) -> str:
     return ", ".join("'" + str(v).replace("'", "''") + "'" for v in values)
 
 
+def literal(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def listed(values) -> str:
+    return f"[{quoted(values)}]"
+
+
+def places(source: str, key: str, text: str, name: str = "places") -> str:
+    """CTEs up to ``{name}({key}, places)``: the gazetteer's places in each text, by frequency, then first mention; no row without any."""
+    pattern = r"\b(?:" + "|".join(P.LONGEST_FIRST).replace(".", r"\.") + r")\b"
+    rows = ", ".join(f"({literal(a)}, {literal(p)})" for a, p in P.ALIASES.items())
+    found = f"regexp_extract_all(lower({text}), {literal(pattern)})"
+    return f"""{name}_alias(alias, place) AS (VALUES {rows}),
+{name}_found AS (SELECT {key}, unnest({found}) AS alias, generate_subscripts({found}, 1) AS pos FROM {source}),
+{name}_counted AS (SELECT {key}, place, count(*) AS n, min(pos) AS first FROM {name}_found JOIN {name}_alias USING (alias) GROUP BY ALL),
+{name} AS (SELECT {key}, list(place ORDER BY n DESC, first) AS places FROM {name}_counted GROUP BY {key})"""
+
+
 def stem(t: str) -> str:
     cases = " ".join(f"WHEN ends_with({t}, '{s}') AND length({t}) - {len(s)} >= 3 THEN {t}[:length({t}) - {len(s)}]" for s in K.TERM_SUFFIXES)
     return f"CASE WHEN length({t}) > 4 THEN CASE {cases} ELSE {t} END ELSE {t} END"

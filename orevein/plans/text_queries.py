@@ -5,31 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from orevein.functions import constants as K
 from orevein.functions import text as T
-from orevein.functions.intent import intent
-from orevein.functions.literals import described, literals
-from orevein.functions.rewrite import cleaned, distinct_queries, expanded, is_followup, merged_filters, spliced
-from orevein.operators import fusion
+from orevein.operators import fusion, search
+from orevein.plans import composed as C
 from orevein.plans import sqltext as S
+from orevein.plans.search_queries import query_vectors, vectors
+from orevein.plans.understanding_queries import _sql_tokens
 from orevein.registry import query
-from orevein.session import load
-
-UTTERANCES = [
-    (1, "hello", "greeting"), (2, "Um, hi there!", "greeting"), (3, "hello, what does the plan say about roads", "factual"), (4, "thank you so much", "thanks"),
-    (5, "tell me what can you do for me", "capability"), (6, "what do you know about the west seat", "factual"), (7, "who are you", "identity"), (8, "are you a real person", "identity"),
-    (9, "how are you doing today", "chitchat"), (10, "can you hear me", "chitchat"), (11, "ok", "affirm"), (12, "that's all for now", "farewell"), (13, "good night", "farewell"),
-    (14, "", "greeting"), (15, "help", "capability"), (16, "help with road repair in the north", "factual"), (17, "no thanks", "farewell"), (18, "could you tell me who you are", "factual"),
-]
-
-
-def _values(rows) -> str:
-    return ", ".join("(" + ", ".join("NULL" if v is None else repr(v) if not isinstance(v, str) else "'" + v.replace("'", "''") + "'" for v in r) + ")" for r in rows)
-
-
-@query("intent_route", f"SELECT id, expected AS intent FROM (VALUES {_values(UTTERANCES)}) t(id, utterance, expected)")
-def intent_route(spark, sf_dir):
-    return spark.createDataFrame(UTTERANCES, "id int, utterance string, expected string").select("id", intent(F.col("utterance")).alias("intent"))
-
+from orevein.session import load, materialize
 
 _CLEAN = "coalesce(text, '')"
 for _a, _b in (("“", '"'), ("”", '"'), ("‘", "''"), ("’", "''"), ("–", "-"), ("—", "-"), (" ", " "), ("​", "")):
@@ -85,139 +69,34 @@ def context_header(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", T.context_header(F.col("source"), F.col("lang"), path, F.lit("file.md")).alias("header"))
 
 
-@query("speech_text", "SELECT 1 AS id, 'Costs rupees 500. See docs, now.' AS spoken UNION ALL SELECT 2, 'one two' UNION ALL SELECT 3, 'a, b'")
-def speech_text(spark, sf_dir):
-    rows = [(1, "**Costs** Rs. 500 [1].\n\nSee [docs](http://x), *now* ."), (2, "# one\n\n- two 🎉"), (3, "> a| b")]
-    return spark.createDataFrame(rows, "id int, t string").select("id", T.speech_text(F.regexp_replace("t", r"\n\nSee", " See")).alias("spoken"))
-
-
-_RAW = "Please, um, tell me about road repair"
-QUESTIONS = [(1, "please tell me the road plan"), (2, "um what is the pension"), (3, "hi"), (4, "well, kind of current bills"), (5, "job openings, actually")]
-
-
-@query(
-    "query_clean",
-    f"SELECT id, cleaned FROM (VALUES {_values([(1, 'tell me the road plan'), (2, 'what is the pension'), (3, 'hi'), (4, 'current bills'), (5, 'job openings')])}) t(id, cleaned)",
-)
-def query_clean(spark, sf_dir):
-    return spark.createDataFrame(QUESTIONS, "id int, q string").select("id", cleaned(F.col("q")).alias("cleaned"))
-
-
-@query(
-    "synonym_expand",
-    f"SELECT id, expanded FROM (VALUES {_values([(1, 'please tell me the road plan roads infrastructure'), (2, 'um what is the pension old age pension welfare'), (3, None), (4, 'well, kind of current bills electricity power'), (5, 'job openings, actually employment recruitment')])}) t(id, expanded)",
-)
-def synonym_expand(spark, sf_dir):
-    return spark.createDataFrame(QUESTIONS, "id int, q string").select("id", expanded(F.col("q")).alias("expanded"))
-
-
-NAMES = [("Dr. Asha Rao Verma", "Asha Rao Verma"), ("Asha Verma", "Meena Verma"), ("Ravi Kumar", "Ravi Kumar Gupta"), ("Asha Verma's", "Smt. Asha Verma"), ("", "X Y"), ("Nila Das", "Tom Hart")]
-
-
-def _sql_tokens(c: str) -> str:
-    return f"list_distinct(list_filter(list_transform(string_split(lower({c}), ' '), lambda w: regexp_replace(regexp_replace(regexp_replace(w, '^[.,]+|[.,]+$', '', 'g'), '''s$', ''), '^[.,]+|[.,]+$', '', 'g')), lambda w: length(w) > 1 AND NOT list_contains(['dr','sri','shri','smt','mr','mrs','ms','prof','kum'], w)))"
+_NAMED = f"""{C.PEOPLE}, {S.DENSE}, h AS (SELECT query_id, id, rank, 1.0::DOUBLE / (60 + rank) AS rrf_score FROM {S.top("dense", 30)}),
+who AS (SELECT query_id, CASE WHEN query_id % 2 = 0 THEN given || ' ' || family ELSE 'Tom Hart' END AS person FROM h JOIN people ON key = id WHERE rank = 3),
+named AS (SELECT h.*, person, CASE WHEN id % 3 < 2 THEN title || ' ' || given || ' ' || family END AS name FROM h JOIN who USING (query_id) LEFT JOIN people ON key = id),
+scored AS (SELECT *, {S.f1(_sql_tokens("person"), _sql_tokens("coalesce(name, '')"))} AS f1 FROM named)"""
 
 
-@query("name_match_f1", f"WITH n AS (SELECT * FROM (VALUES {_values(NAMES)}) t(a, b)) SELECT a, b, {S.f1(_sql_tokens('a'), _sql_tokens('b'))} AS f1 FROM n")
-def name_match_f1(spark, sf_dir):
-    return spark.createDataFrame(NAMES, "a string, b string").select("a", "b", T.name_f1(F.col("a"), F.col("b")).alias("f1"))
+def _named(spark, sf_dir):
+    """Dense hits with the name of a person for two thirds of them; every other query asks for the third hit's person."""
+    hits = search.dense_topk(vectors(spark, sf_dir), query_vectors(spark, sf_dir)).withColumn("rrf_score", 1.0 / (60 + F.col("rank")))
+    people = C.people(spark, sf_dir).select(F.col("key").alias("id"), F.concat_ws(" ", "given", "family").alias("bare"), "title")
+    rows = materialize(hits.join(people, "id", "left"), "named")
+    who = rows.filter("rank = 3 and bare is not null").select("query_id", F.when(F.col("query_id") % 2 == 0, F.col("bare")).otherwise("Tom Hart").alias("person"))
+    name = F.when(F.col("id") % 3 < 2, F.concat("title", F.lit(" "), "bare"))
+    return rows.join(who, "query_id").withColumn("name", name).withColumn("f1", T.name_f1(F.col("person"), F.col("name"))).withColumn("is_record", F.col("name").isNotNull())
 
 
-RECORDS = [(1, 10, "Asha Rao Verma", 0.9), (1, 11, "Meena Verma", 0.8), (1, 12, None, 0.7), (2, 10, "Asha Rao Verma", 0.9), (2, 12, None, 0.5)]
-ASKED = [(1, "Asha Verma"), (2, "Tom Hart")]
-_F1 = f"r AS (SELECT * FROM (VALUES {_values(RECORDS)}) r(query_id, id, name, rrf_score)), a AS (SELECT * FROM (VALUES {_values(ASKED)}) a(query_id, person)), h AS (SELECT r.*, {S.f1(_sql_tokens('person'), _sql_tokens('''coalesce(name, '')'''))} AS f1 FROM r JOIN a USING (query_id))"
-
-
-def _named(spark):
-    rows = spark.createDataFrame(RECORDS, "query_id int, id int, name string, rrf_score double").join(spark.createDataFrame(ASKED, "query_id int, person string"), "query_id")
-    return rows.withColumn("f1", T.name_f1(F.col("person"), F.col("name"))).withColumn("is_record", F.col("name").isNotNull())
-
-
-@query("entity_gate", f"WITH {_F1}, b AS (SELECT *, max(f1) OVER (PARTITION BY query_id) AS best FROM h) SELECT query_id, id, f1 FROM b WHERE name IS NULL OR (best >= 0.6 AND f1 >= best - 0.15)")
+@query("entity_gate", f"WITH {_NAMED}, b AS (SELECT *, max(f1) OVER (PARTITION BY query_id) AS best FROM scored) SELECT query_id, id, f1, best < 0.6 AS absent FROM b WHERE name IS NULL OR (best >= 0.6 AND f1 >= best - 0.15)")
 def entity_gate(spark, sf_dir):
-    return fusion.entity_gate(_named(spark)).select("query_id", "id", "f1")
+    return fusion.entity_gate(_named(spark, sf_dir)).select("query_id", "id", "f1", (F.col("best_f1") < K.PERSON_MATCH).alias("absent"))
 
 
 @query(
     "person_boost",
-    f"WITH {_F1}, b AS (SELECT *, max(f1) OVER (PARTITION BY query_id) AS best, max(rrf_score) OVER (PARTITION BY query_id) AS top FROM h) SELECT query_id, id, round(rrf_score + CASE WHEN best < 0.6 THEN 0 WHEN f1 >= 0.6 THEN top * (2 + f1) WHEN name IS NOT NULL THEN -0.75 * top ELSE 0 END, 6) AS rrf_score FROM b",
+    f"WITH {_NAMED}, b AS (SELECT *, max(f1) OVER (PARTITION BY query_id) AS best, max(rrf_score) OVER (PARTITION BY query_id) AS top FROM scored) SELECT query_id, id, round(rrf_score + CASE WHEN best < 0.6 THEN 0 WHEN f1 >= 0.6 THEN top * (2 + f1) WHEN name IS NOT NULL THEN -0.75 * top ELSE 0 END, 6) AS rrf_score FROM b",
 )
 def person_boost(spark, sf_dir):
     no = F.lit(False)
-    return fusion.boosted(_named(spark), no, no, no, F.col("f1"), F.col("is_record")).select("query_id", "id", F.round("rrf_score", 6).alias("rrf_score"))
-
-
-LITERALS = [(1, "born on 14th October 1985?", "date:14th October 1985"), (2, "March 3, 2001 or 3/4/99", "date:March 3, 2001, date:3/4/99"), (3, "assets of Rs. 76.4 lakh", "money:Rs. 76.4 lakh"), (4, "about 12 percent of 3.25", "percent:12 percent, decimal:3.25"), (5, "in 1999 and 2012", "year:1999, year:2012"), (6, "nothing here", "none"), (7, "candidate for North Hill", "seat:North Hill"), (8, "candidates from North Hill district", "none"), (9, "45/13/2020", "year:2020")]
-
-
-@query("extract_literals", f"SELECT id, found FROM (VALUES {_values(LITERALS)}) t(id, q, found)")
-def extract_literals(spark, sf_dir):
-    rows = spark.createDataFrame(LITERALS, "id int, q string, expected string")
-    return rows.withColumn("l", literals(F.col("q"))).select("id", F.regexp_replace(described(F.col("l")), "money:s", "money:Rs").alias("found"))
-
-
-@query("order_distinct", "SELECT * FROM (VALUES (1, 'a|B|c'), (2, 'x')) t(id, out)")
-def order_distinct(spark, sf_dir):
-    rows = spark.createDataFrame([(1, [" a ", "B", "A", "", "b", "c"]), (2, ["x", "X"])], "id int, q array<string>")
-    return rows.select("id", F.array_join(distinct_queries(F.col("q")), "|").alias("out"))
-
-
-@query("apply_filters", "SELECT * FROM (VALUES (1, 'district=north'), (2, 'category=a,district=south'), (3, 'districts=a;b')) t(id, out)")
-def apply_filters(spark, sf_dir):
-    rows = [(1, {"district": "north"}, {"districts": "south;west", "district": "south"}), (2, {"category": "a"}, {"category": "b", "district": "south"}), (3, {"topic": ""}, {"districts": "a;b"})]
-    merged = merged_filters(F.col("e"), F.col("i"))
-    out = F.array_join(F.array_sort(F.transform(F.map_entries(merged), lambda x: F.concat(x["key"], F.lit("="), x["value"]))), ",")
-    return spark.createDataFrame(rows, "id int, e map<string,string>, i map<string,string>").select("id", out.alias("out"))
-
-
-@query("followup_splice", "SELECT * FROM (VALUES (1, true, 'and the amount (regarding: road repair plan)'), (2, false, 'what is the long term plan of the northern council')) t(id, followup, q)")
-def followup_splice(spark, sf_dir):
-    rows = spark.createDataFrame([(1, "and the amount?", "the road repair plan"), (2, "what is the long term plan of the northern council", "x")], "id int, t string, last string")
-    follow = is_followup(F.col("t"), F.lit(True), F.lit(False), F.lit(None).cast("string"))
-    words = F.regexp_replace("last", "^the ", "")
-    return rows.select("id", follow.alias("followup"), F.when(follow, spliced(F.col("t"), words)).otherwise(F.col("t")).alias("q"))
-
-
-# --- topics: counts of signals per topic, ties in the order of the topics
-TOPICS = {"water": ["aqua", "tion"], "land": ["land", "ing"], "people": ["the ", "and "]}
-
-
-def _count(text, signal):
-    return ((F.length(text) - F.length(F.replace(text, F.lit(signal), F.lit("")))) / len(signal)).cast("long")
-
-
-def topic_counts(text):
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return F.array(*[F.struct((-sum((_count(low, s) for s in signals), F.lit(0))).alias("neg"), F.lit(i).alias("pos"), F.lit(topic).alias("topic")) for i, (topic, signals) in enumerate(TOPICS.items())])
-
-
-_TOPIC_SQL = ", ".join(f"({i}, '{t}', [{S.quoted(s)}])" for i, (t, s) in enumerate(TOPICS.items()))
-
-
-@query(
-    "topic_argmax",
-    f"""WITH s AS (SELECT pos, topic, unnest(signals) AS sig FROM (VALUES {_TOPIC_SQL}) t(pos, topic, signals)),
-c AS (SELECT doc_id, pos, topic, sum((length(text) - length(replace(lower(text), sig, ''))) // length(sig))::BIGINT AS n FROM documents, s GROUP BY ALL)
-SELECT doc_id, topic, n FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, pos) = 1""",
-)
-def topic_argmax(spark, sf_dir):
-    best = F.array_sort(topic_counts(F.col("text")))[0]
-    return load(spark, sf_dir, "documents").select("doc_id", best["topic"].alias("topic"), (-best["neg"]).alias("n"))
-
-
-@query(
-    "category_score",
-    """WITH s(pos, category, sig) AS (VALUES (0, 'formal', ' of the '), (0, 'formal', ' and the '), (1, 'listing', ' | '), (2, 'loud', '!!')),
-c AS (SELECT doc_id, pos, category, sum(least(5, (length(substr(text, 1, 8000)) - length(replace(lower(substr(text, 1, 8000)), sig, ''))) // length(sig)))::BIGINT AS n FROM documents, s GROUP BY ALL),
-b AS (SELECT doc_id, category, n FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, pos) = 1)
-SELECT doc_id, CASE WHEN n > 0 THEN category ELSE 'other' END AS category, n FROM b""",
-)
-def category_score(spark, sf_dir):
-    low = F.lower(F.substring(F.coalesce("text", F.lit("")), 1, 8000))
-    signals = [("formal", [" of the ", " and the "]), ("listing", [" | "]), ("loud", ["!!"])]
-    scored = [F.struct((-sum((F.least(F.lit(5), _count(low, s)) for s in own), F.lit(0))).cast("long").alias("neg"), F.lit(i).alias("pos"), F.lit(c).alias("category")) for i, (c, own) in enumerate(signals)]
-    best = F.array_sort(F.array(*scored))[0]
-    return load(spark, sf_dir, "documents").select("doc_id", F.when(best["neg"] < 0, best["category"]).otherwise("other").alias("category"), (-best["neg"]).alias("n"))
+    return fusion.boosted(_named(spark, sf_dir), no, no, no, F.col("f1"), F.col("is_record")).select("query_id", "id", F.round("rrf_score", 6).alias("rrf_score"))
 
 
 @query(
@@ -229,10 +108,3 @@ def mention_counts(spark, sf_dir):
     words = load(spark, sf_dir, "conversations").select("conv_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\b(?:the|with|from)\b"), F.lit(0))).alias("word"))
     counted = words.groupBy("conv_id", "word").agg(F.count(F.lit(1)).alias("n"))
     return counted.withColumn("rank", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("n"), "word")))
-
-
-@query("resolve_place", "SELECT c_custkey, n_name AS place, r_name AS parent FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = n_regionkey")
-def resolve_place(spark, sf_dir):
-    customer, nation, region = load(spark, sf_dir, "customer", "nation", "region")
-    gazetteer = nation.join(region, nation["n_regionkey"] == region["r_regionkey"], "left")
-    return customer.join(gazetteer, customer["c_nationkey"] == gazetteer["n_nationkey"], "left").select("c_custkey", F.col("n_name").alias("place"), F.col("r_name").alias("parent"))

@@ -5,17 +5,19 @@ The debounce depends on the last partial that *fired*, so it is keyed state, not
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from orevein.functions import constants as K
 
 OUTPUT = "session_id string, ts timestamp, event string, text string, similarity double"
+SENTENCE_GAP = re.compile(r"(?<=[.!?])\s+")
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -37,6 +39,15 @@ class Speculation:
     def __init__(self, last: float | None = None, runs: list | None = None, latency_ms: float = 150.0):
         self.last, self.runs, self.latency_ms = last, runs or [], latency_ms
 
+    def event(self, kind: str, ms: float, text: str, vector) -> list[tuple[str, str, float | None]]:
+        return {"final": self.final, "reset": self.reset}.get(kind, self.partial)(ms, text, vector)
+
+    def reset(self, ms: float, text: str, vector) -> list[tuple[str, str, float | None]]:
+        """The speaker broke in or left: a running search is cancelled and everything forgotten."""
+        out = [("cancelled", r[1], None) for r in self.runs[-1:] if r[0] + self.latency_ms > ms]
+        self.last, self.runs = None, []
+        return [*out, ("reset", text, None)]
+
     def partial(self, ms: float, text: str, vector) -> list[tuple[str, str, float | None]]:
         if not stable(text) or (self.last is not None and ms - self.last < K.DEBOUNCE_MS):
             return [("skipped", text, None)]
@@ -57,8 +68,9 @@ class Speculation:
 
 class SpeculationProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "ms double")
-        self.runs = handle.getListState("runs", "ms double, text string, vector array<double>")
+        # a session that goes silent leaves nothing behind
+        self.last = handle.getValueState("last", "ms double", ttlDurationMs=K.SESSION_TTL_S * 1000)
+        self.runs = handle.getListState("runs", "ms double, text string, vector array<double>", ttlDurationMs=K.SESSION_TTL_S * 1000)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         events = pd.concat(list(rows)).sort_values(["ts", "kind"])
@@ -66,9 +78,7 @@ class SpeculationProcessor(StatefulProcessor):
         state = Speculation(last, [tuple(r) for r in self.runs.get()] if self.runs.exists() else [])
         out = []
         for e in events.itertuples():
-            ms = e.ts.timestamp() * 1000
-            found = state.final(ms, e.text, e.embedding) if e.kind == "final" else state.partial(ms, e.text, e.embedding)
-            out += [(key[0], e.ts, *f) for f in found]
+            out += [(key[0], e.ts, *f) for f in state.event(e.kind, e.ts.timestamp() * 1000, e.text, e.embedding)]
         if state.last is None:
             self.last.clear()
         else:
@@ -82,7 +92,7 @@ class SpeculationProcessor(StatefulProcessor):
 
 def speculate(partials: DataFrame) -> DataFrame:
     """Events of a stream ``session_id, ts, kind (partial | final), text, embedding``; needs ``STATE_STORE`` as state store."""
-    return partials.groupBy("session_id").transformWithStateInPandas(SpeculationProcessor(), outputStructType=OUTPUT, outputMode="Append", timeMode="none")
+    return partials.groupBy("session_id").transformWithStateInPandas(SpeculationProcessor(), outputStructType=OUTPUT, outputMode="Append", timeMode="processingTime")
 
 
 def metrics(events: DataFrame, late: str = "10 minutes", width: str = "5 minutes") -> DataFrame:
@@ -95,14 +105,72 @@ def session_windows(events: DataFrame, gap: str = "1 hour", late: str = "2 hours
     return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "key").agg(F.count(F.lit(1)).alias("n")).select("session_window.start", "session_window.end", "key", "n")
 
 
+def speculation_stats(events: DataFrame, by: str = "session_id") -> DataFrame:
+    """Per session: searches fired, cancelled, reused, discarded and partials skipped; the share of finals that reused one (0 without any)."""
+    n = lambda name: F.count_if(F.col("event") == name)
+    rate = F.coalesce(n("reused") / F.nullif(n("reused") + n("discarded"), F.lit(0)), F.lit(0.0))
+    return events.groupBy(by).agg(*[n(name).alias(name) for name in ("fired", "cancelled", "reused", "discarded", "skipped")], F.round(rate, 3).alias("reuse_rate"))
+
+
+def split_off(held: str, piece: str) -> tuple[list[str], str]:
+    """Sentences that are over now that ``piece`` has come, and the beginning of the next."""
+    parts = SENTENCE_GAP.split(held + piece)
+    return [p for p in parts[:-1] if p.strip()], parts[-1]
+
+
 def emitted_sentences(pieces: list[str]) -> list[str]:
     """Sentences as a text arrives in pieces: each leaves once a later one has begun, the rest at the end."""
-    import re
-
     out, held = [], ""
     for piece in pieces:
-        held += piece
-        parts = re.split(r"(?<=[.!?])\s+", held)
-        out += [p for p in parts[:-1] if p]
-        held = parts[-1]
+        done, held = split_off(held, piece)
+        out += done
     return out + ([held] if held.strip() else [])
+
+
+SENTENCES = "utterance_id string, ts timestamp, sentence string"
+
+
+class SentenceProcessor(StatefulProcessor):
+    """The open sentence of an utterance; ``done`` sends what is left."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("held", "text string", ttlDurationMs=K.SESSION_TTL_S * 1000)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held, out = self.held.get()[0] if self.held.exists() else "", []
+        for e in pd.concat(list(rows)).sort_values(["ts", "seq"]).itertuples():
+            done, held = split_off(held, e.piece or "")
+            if e.done and held.strip():
+                done, held = [*done, held], ""
+            out += [(key[0], e.ts, s.strip()) for s in done]
+        if held:
+            self.held.update((held,))
+        else:
+            self.held.clear()
+        yield pd.DataFrame(out, columns=["utterance_id", "ts", "sentence"])
+
+    def close(self) -> None:
+        pass
+
+
+def sentences_as_they_end(pieces: DataFrame) -> DataFrame:
+    """Sentences of a stream ``utterance_id, ts, seq, piece, done``, each as soon as the next begins; needs ``STATE_STORE``."""
+    return pieces.groupBy("utterance_id").transformWithStateInPandas(SentenceProcessor(), outputStructType=SENTENCES, outputMode="Append", timeMode="processingTime")
+
+
+def in_order(events: DataFrame, key: str = "utterance_id", number: str = "seq") -> DataFrame:
+    """``events`` with ``ready``: whether every earlier number of the key (from 0) is there too, so that it may be played."""
+    order = Window.partitionBy(key).orderBy(number)
+    return events.withColumn("ready", F.row_number().over(order) - 1 == F.col(number))
+
+
+def answer_events(answers: DataFrame, hits: DataFrame, parts: Column) -> DataFrame:
+    """``query_id, seq, event, data`` of each answer as it is sent: what was retrieved, the parts of the text, then the whole with its status.
+
+    ``parts`` is an array over a row of ``answers(query_id, status, answer)``; an answer without parts goes out whole.
+    """
+    found = hits.filter("position is not null").groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    rows = answers.join(found, "query_id", "left").withColumn("parts", F.when(F.size(parts) > 0, parts).otherwise(F.array("answer")))
+    event = lambda name, data: F.struct(F.lit(name).alias("event"), data.alias("data"))
+    every = F.concat(F.array(event("retrieval", F.coalesce("n", F.lit(0)).cast("string"))), F.transform("parts", lambda p: event("delta", p)), F.array(event("final", F.col("status"))))
+    return rows.select("query_id", F.posexplode(every).alias("seq", "e")).select("query_id", "seq", "e.event", "e.data")
