@@ -36,11 +36,14 @@ _FACTORS = words.mix(np.arange(101, 101 + SIGNATURE, dtype=np.uint64)) | np.uint
 
 def shared_buckets(rows: DataFrame) -> DataFrame:
     """The rows ``bucket, item`` (distinct) of buckets with at least two different items; of buckets with the same items one."""
-    distinct = materialize(rows.select("bucket", "item").distinct(), "rows")  # read twice, and dear to compute
-    h = F.xxhash64("item")
-    sets = distinct.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("a"), F.bit_xor(F.xxhash64(h, F.lit(1))).alias("b")).filter("n > 1")
-    shared = materialize(distinct.join(sets.groupBy("n", "a", "b").agg(F.min("bucket").alias("bucket")).select("bucket"), "bucket"), "buckets")
+    distinct = materialize(rows.select("bucket", "item").distinct(), "rows", tidy=True)  # read twice, and dear to compute
+    several = distinct.groupBy("bucket").agg(F.min("item").alias("lo"), F.max("item").alias("hi")).filter("lo < hi").select("bucket")
+    some = materialize(distinct.join(several, "bucket", "left_semi"), "several")
     discard(distinct)
+    h = F.xxhash64("item")
+    sets = some.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("a"), F.bit_xor(F.xxhash64(h, F.lit(1))).alias("b"))
+    shared = materialize(some.join(sets.groupBy("n", "a", "b").agg(F.min("bucket").alias("bucket")).select("bucket"), "bucket"), "buckets")
+    discard(some)
     return shared
 
 
