@@ -41,14 +41,16 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str = "t", partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage and survives lost executors."""
+def materialize(df: DataFrame, tag: str = "t", tidy: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage and survives lost executors.
+
+    ``tidy`` has Spark drop the shuffle files of that at once, for tables as large as the input.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/orevein/{tag}-{uuid.uuid4().hex}"
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    df.write.parquet(path)
+    if tidy:
+        spark._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._orevein_path = path
     return out

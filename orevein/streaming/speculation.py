@@ -66,11 +66,23 @@ class Speculation:
         return out
 
 
+def _ttl(seconds: int | None) -> int | None:
+    return seconds * 1000 if seconds else None
+
+
+def _time_mode(ttl_s: int | None) -> str:
+    """State expires by the clock; a query over what is available now, which would wait for that for ever, takes no TTL."""
+    return "processingTime" if ttl_s else "none"
+
+
 class SpeculationProcessor(StatefulProcessor):
+    def __init__(self, ttl_s: int | None = None):
+        self.ttl_s = ttl_s
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         # a session that goes silent leaves nothing behind
-        self.last = handle.getValueState("last", "ms double", ttlDurationMs=K.SESSION_TTL_S * 1000)
-        self.runs = handle.getListState("runs", "ms double, text string, vector array<double>", ttlDurationMs=K.SESSION_TTL_S * 1000)
+        self.last = handle.getValueState("last", "ms double", ttlDurationMs=_ttl(self.ttl_s))
+        self.runs = handle.getListState("runs", "ms double, text string, vector array<double>", ttlDurationMs=_ttl(self.ttl_s))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         events = pd.concat(list(rows)).sort_values(["ts", "kind"])
@@ -90,9 +102,12 @@ class SpeculationProcessor(StatefulProcessor):
         pass
 
 
-def speculate(partials: DataFrame) -> DataFrame:
-    """Events of a stream ``session_id, ts, kind (partial | final), text, embedding``; needs ``STATE_STORE`` as state store."""
-    return partials.groupBy("session_id").transformWithStateInPandas(SpeculationProcessor(), outputStructType=OUTPUT, outputMode="Append", timeMode="processingTime")
+def speculate(partials: DataFrame, ttl_s: int | None = K.SESSION_TTL_S) -> DataFrame:
+    """Events of a stream ``session_id, ts, kind (partial | final | reset), text, embedding``; needs ``STATE_STORE`` as state store.
+
+    The state of a session is dropped ``ttl_s`` after its last change; None keeps it, as ``availableNow`` needs.
+    """
+    return partials.groupBy("session_id").transformWithStateInPandas(SpeculationProcessor(ttl_s), outputStructType=OUTPUT, outputMode="Append", timeMode=_time_mode(ttl_s))
 
 
 def metrics(events: DataFrame, late: str = "10 minutes", width: str = "5 minutes") -> DataFrame:
@@ -133,8 +148,11 @@ SENTENCES = "utterance_id string, ts timestamp, sentence string"
 class SentenceProcessor(StatefulProcessor):
     """The open sentence of an utterance; ``done`` sends what is left."""
 
+    def __init__(self, ttl_s: int | None = None):
+        self.ttl_s = ttl_s
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getValueState("held", "text string", ttlDurationMs=K.SESSION_TTL_S * 1000)
+        self.held = handle.getValueState("held", "text string", ttlDurationMs=_ttl(self.ttl_s))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held, out = self.held.get()[0] if self.held.exists() else "", []
@@ -153,9 +171,9 @@ class SentenceProcessor(StatefulProcessor):
         pass
 
 
-def sentences_as_they_end(pieces: DataFrame) -> DataFrame:
-    """Sentences of a stream ``utterance_id, ts, seq, piece, done``, each as soon as the next begins; needs ``STATE_STORE``."""
-    return pieces.groupBy("utterance_id").transformWithStateInPandas(SentenceProcessor(), outputStructType=SENTENCES, outputMode="Append", timeMode="processingTime")
+def sentences_as_they_end(pieces: DataFrame, ttl_s: int | None = K.SESSION_TTL_S) -> DataFrame:
+    """Sentences of a stream ``utterance_id, ts, seq, piece, done``, each as soon as the next begins; ``ttl_s`` as in ``speculate``."""
+    return pieces.groupBy("utterance_id").transformWithStateInPandas(SentenceProcessor(ttl_s), outputStructType=SENTENCES, outputMode="Append", timeMode=_time_mode(ttl_s))
 
 
 def in_order(events: DataFrame, key: str = "utterance_id", number: str = "seq") -> DataFrame:

@@ -100,7 +100,7 @@ def test_speculation_stream(spark, tmp_path):
     rows = [("s1", base + dt.timedelta(milliseconds=ms), kind, t, [1.0, 0.0]) for ms, kind, t in ((0, "partial", "what is the plan"), (100, "partial", "what is the plan now"), (400, "partial", "what is the plan for roads"), (900, "final", "what is the plan for roads"))]
     schema = "session_id string, ts timestamp, kind string, text string, embedding array<double>"
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(source))
-    events = speculation.speculate(spark.readStream.schema(schema).parquet(str(source)))
+    events = speculation.speculate(spark.readStream.schema(schema).parquet(str(source)), ttl_s=None)
     events.writeStream.format("memory").queryName("spec").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
     assert [r.event for r in spark.table("spec").orderBy("ts").collect()] == ["fired", "skipped", "fired", "reused"]
 
