@@ -115,11 +115,13 @@ def _registers(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    recent = words.Recent()
     for batch in batches:
-        for _, _, hashes, offsets, keys in _prepared(batch):
+        for _, _, hashes, offsets, every in _prepared(batch):
             registers, text = _registers(hashes, offsets)
-            keys = keys[text]
-            keep = keys != 0
+            keys = every[text]
+            distinct = np.unique(every[every != 0])
+            keep = np.isin(keys, distinct[recent.fresh(distinct)])
             buckets = band_hashes(registers[keep], BANDS, ROWS)
             yield pa.RecordBatch.from_arrays([pa.array(buckets.ravel().astype(np.int64)), pa.array(np.repeat(keys[keep], BANDS).astype(np.int64))], names=["bucket", "item"])
 

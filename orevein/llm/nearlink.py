@@ -35,11 +35,14 @@ _FACTORS = words.mix(np.arange(101, 101 + SIGNATURE, dtype=np.uint64)) | np.uint
 
 
 def shared_buckets(rows: DataFrame) -> DataFrame:
-    """The rows ``bucket, item`` (distinct) of buckets with at least two different items; of buckets with the same items one."""
-    distinct = materialize(rows.select("bucket", "item").distinct(), "rows", tidy=True)  # read twice, and dear to compute
-    several = distinct.groupBy("bucket").agg(F.min("item").alias("lo"), F.max("item").alias("hi")).filter("lo < hi").select("bucket")
-    some = materialize(distinct.join(several, "bucket", "left_semi"), "several")
-    discard(distinct)
+    """The rows ``bucket, item`` (distinct) of buckets with at least two different items; of buckets with the same items one.
+
+    One shuffle: splitters over both columns cut a hot bucket across partitions, and a sorted sweep drops repeats and
+    buckets of one item. What stands at the edge of a partition stays, since its bucket may go on in the next.
+    """
+    every = materialize(rows.select("bucket", "item"), "rows")  # read twice, for the splitters and by the sort
+    some = materialize(every.repartitionByRange("bucket", "item").sortWithinPartitions("bucket", "item").mapInArrow(_several, "bucket long, item long"), "several", tidy=True)
+    discard(every)
     h = F.xxhash64("item")
     sets = some.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("a"), F.bit_xor(F.xxhash64(h, F.lit(1))).alias("b"))
     shared = materialize(some.join(sets.groupBy("n", "a", "b").agg(F.min("bucket").alias("bucket")).select("bucket"), "bucket"), "buckets")
@@ -47,6 +50,28 @@ def shared_buckets(rows: DataFrame) -> DataFrame:
     return shared
 
 
+def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bucket, item, out = np.zeros(0, np.int64), np.zeros(0, np.int64), True  # the last row, and whether it has been given out
+    for batch in batches:
+        b, i = (np.concatenate([held, batch.column(c).to_numpy()]) for held, c in ((bucket, "bucket"), (item, "item")))
+        new = np.ones(len(b), bool)
+        new[1:] = (b[1:] != b[:-1]) | (i[1:] != i[:-1])
+        b, i = b[new], i[new]
+        if not len(b):
+            continue
+        alike = b[1:] == b[:-1]
+        keep = np.zeros(len(b), bool)
+        keep[1:] |= alike
+        keep[:-1] |= alike
+        keep[0] |= not len(bucket)
+        last, given = keep[-1] or (len(b) == 1 and out and len(bucket) > 0), keep.copy()
+        given[0] &= not (len(bucket) and out)
+        bucket, item, out = b[-1:], i[-1:], bool(last)
+        yield pa.RecordBatch.from_arrays([pa.array(b[given]), pa.array(i[given])], names=["bucket", "item"])
+    if len(bucket) and not out:
+        yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(item)], names=["bucket", "item"])
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """16 bits of each MinHash value of the grams."""
     for batch in batches:

@@ -122,6 +122,7 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    recent = words.Recent()
     for batch in batches:
         for _, _, raw, ends in words.slices(batch.column("text")):
             _, hashes, firsts, _, whole = pieces(raw, ends)
@@ -129,6 +130,8 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shingles, offsets = words.shingles(hashes, bounds, SHINGLE)
             item, once = np.unique(item, return_index=True)
             item, once = item[item != 0], once[item != 0]
+            fresh = recent.fresh(item)
+            item, once = item[fresh], once[fresh]
             if not len(item):
                 continue
             low = [np.minimum.reduceat(shingles * f, offsets[:-1]) for f in _FACTORS]

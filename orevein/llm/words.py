@@ -145,6 +145,20 @@ def shingles(hashes: np.ndarray, offsets: np.ndarray, n: int = 5) -> tuple[np.nd
     return out, out_offsets
 
 
+class Recent:
+    """Tells items that a task has just seen from others, in constant memory: a repeat may be missed, a new item never is."""
+
+    def __init__(self, slots: int = 1 << 16):
+        self.table, self.mask = np.zeros(slots, np.uint64), np.uint64(slots - 1)
+
+    def fresh(self, items: np.ndarray) -> np.ndarray:
+        """Which of the distinct, non-zero ``items`` aren't known as repeats."""
+        slot = items & self.mask
+        out = self.table[slot] != items
+        self.table[slot] = items
+        return out
+
+
 def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sum of ``values`` between neighbouring offsets, each by itself: it doesn't depend on what stands beside it."""
     out = np.zeros(len(offsets) - 1, values.dtype)
