@@ -72,6 +72,30 @@ def test_keep_first_goes_by_row(spark):
     assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter([rows[0], rows[1], rows[5], rows[6], rows[7], rows[8]])
 
 
+def test_sweep_keeps_buckets_of_several_items():
+    rng = random.Random(1)
+    for _ in range(500):
+        n = rng.randrange(30)
+        rows = sorted((rng.randrange(8), rng.randrange(4)) for _ in range(n))
+        cuts = sorted(rng.randrange(n + 1) for _ in range(rng.randrange(4)))
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[a:b]], pa.int64()) for k in (0, 1)], names=["bucket", "item"]) for a, b in zip([0, *cuts], [*cuts, n], strict=True)]
+        out = [tuple(x.values()) for o in nearlink._several(iter(batches)) for x in o.to_pylist()]
+        distinct = sorted(set(rows))
+        items = Counter(b for b, _ in distinct)
+        edges = {distinct[0][0], distinct[-1][0]} if distinct else set()
+        assert sorted(out) == [r for r in distinct if items[r[0]] > 1 or r[0] in edges]
+
+
+def test_recent_items_never_hide_a_new_one():
+    recent, seen = words.Recent(4), set()
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        items = np.unique(rng.integers(1, 60, 10)).astype(np.uint64)
+        fresh = recent.fresh(items)
+        assert set(items.tolist()) - set(items[fresh].tolist()) <= seen
+        seen |= set(items.tolist())
+
+
 def paragraph_parts(texts: list[str | None]) -> tuple[list[list[tuple]], list[list[int]]]:
     """Of each text its parts ``(first piece, pieces, words, whether a paragraph)`` and the sizes of its pieces."""
     parts, sizes = [], []
