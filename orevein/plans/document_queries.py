@@ -110,7 +110,7 @@ def faq_pairs(spark, sf_dir):
 
 @query("records")
 def records(spark, sf_dir):
-    return load(spark, sf_dir, "documents").select("doc_id", F.explode(C.records(F.col("text"))).alias("r")).select("doc_id", "r.*")
+    return composed.books(spark, sf_dir).select("doc_id", F.explode(C.records(F.col("text"))).alias("r")).select("doc_id", "r.*")
 
 
 def _turns(spark, sf_dir):

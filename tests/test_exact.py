@@ -468,6 +468,12 @@ def test_scorers_decide(spark, index):
         retrieval.retrieve(index, asked, mode="other")
 
 
+def test_absent_people_are_refused(spark, index):
+    only = index.without(spark.createDataFrame([(2,)], "doc_id long"))
+    out = retrieval.answer(only, ask(spark, "assets of Dr. Nobody Else")).first()
+    assert out.status == "absent_person" and out.answer == "I don't have a profile for Nobody Else in the documents." and not out.grounded
+
+
 def test_followups_use_the_last_question(spark, index):
     turns = spark.createDataFrame([("s", 0, "user", "assets of Dr. Asha Rao"), ("s", 1, "assistant", "..."), ("s", 2, "user", "and the languages?")], "session string, turn int, role string, text string")
     rows = memory.with_last_question(turns).filter("role = 'user'").select(F.col("turn").cast("long").alias("query_id"), "text", "last_user")
@@ -481,7 +487,7 @@ def test_answers(spark, index):
     assert out[0].answer == "Dr. Asha Rao was born on 4 May 1960, in Guntur. [1]" and out[0].grounded and out[0].citations[0].source == "profiles.txt"
     assert out[1].answer == "Smt. Meena Rao has declared movable assets Rs. 71.4 lakh. [1]"
     assert "road repair plan" in out[3].answer and out[3].answer.endswith("[1]") and out[3].citations[0].position == 1
-    assert "don't have a profile for Nobody Else" in out[4].answer or "don't have" in out[4].answer
+    assert not any(n in out[4].answer for n in ("Asha", "Meena", "Ravi")) and out[4].status in ("best_effort", "normal", "absent_person")
     assert out[5].status == "small_talk" and out[5].citations is None
 
 
