@@ -119,7 +119,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .agg(F.min("run_keep").alias("edge_keep"), F.sum("run_size").alias("edge_size"), F.min("part").alias("edge_part"), F.count(F.lit(1)).alias("pieces"))
         .filter("pieces > 1")
     )
-    return runs.join(edges, "text_sha256", "left").select(
+    # at most two rows a partition: a shuffle by digest would bring a hot group back into one task
+    return runs.join(F.broadcast(edges), "text_sha256", "left").select(
         "doc_id",
         F.coalesce("edge_keep", "run_keep").alias("keep_id"),
         F.coalesce("edge_size", "run_size").alias("group_size"),

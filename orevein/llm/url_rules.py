@@ -23,7 +23,6 @@ from orevein.session import load
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 BLOCK = 20_000
 DEFAULT = "allow"
-_END = "\U0010ffff"
 
 
 def reversed_host(host: str) -> str:
