@@ -64,10 +64,15 @@ def _total(parts: list[Column]) -> Column:
     return sum(parts[1:], parts[0])
 
 
-def category(text: Column, file_name: Column) -> Column:
-    """The category with the highest score over the first characters and the file name; ``other`` without any signal."""
+def lowered(text: Column) -> Column:
+    """The text as signals are counted in; a column of its own where several functions share it, so that it is made once."""
+    return F.lower(F.coalesce(text, F.lit("")))
+
+
+def category(text: Column, file_name: Column, low: Column | None = None) -> Column:
+    """The category with the highest score over the first characters (``low``: those lowered) and the file name; ``other`` without any signal."""
     sample = F.substring(F.coalesce(text, F.lit("")), 1, SAMPLE_CHARS)
-    low, name = F.lower(sample), F.lower(F.coalesce(file_name, F.lit("")))
+    low, name = lowered(sample) if low is None else low, F.lower(F.coalesce(file_name, F.lit("")))
     bare = F.regexp_replace(name, "[_-]", "")
     questions = F.regexp_count(sample, F.lit(QUESTION_LINE)).cast("long")
     scores, order = {}, {}
@@ -81,14 +86,14 @@ def category(text: Column, file_name: Column) -> Column:
     return F.coalesce(F.try_element_at(_ranked(scores, order), F.lit(1)), F.lit("other"))
 
 
-def topics(text: Column, limit: int = 4) -> Column:
+def topics(text: Column, limit: int = 4, low: Column | None = None) -> Column:
     """Up to ``limit`` topics by how often their signals occur."""
-    low = F.lower(F.coalesce(text, F.lit("")))
+    low = lowered(text) if low is None else low
     return F.slice(_ranked({own: _total([occurrences(low, s) for s in signals]) for own, signals in TOPICS.items()}), 1, limit)
 
 
-def party(text: Column) -> Column:
-    low = F.lower(F.coalesce(text, F.lit("")))
+def party(text: Column, low: Column | None = None) -> Column:
+    low = lowered(text) if low is None else low
     return F.try_element_at(_ranked({own: _total([occurrences(low, s) for s in signals]) for own, signals in PARTIES.items()}), F.lit(1))
 
 

@@ -90,12 +90,14 @@ def _counted(table: dict[str, list[str]], name: str, source: str = "papers", key
 
 @query("doc_category", f"WITH {C.PAPERS}, {_CATEGORY} SELECT doc_id, category FROM categories")
 def doc_category(spark, sf_dir):
-    return C.papers(spark, sf_dir).select("doc_id", G.category(F.col("text"), F.col("file_name")).alias("category"))
+    papers = C.papers(spark, sf_dir).withColumn("low", G.lowered(F.substring("text", 1, G.SAMPLE_CHARS)))
+    return papers.select("doc_id", G.category(F.col("text"), F.col("file_name"), F.col("low")).alias("category"))
 
 
 @query("doc_topics", f"WITH {C.PAPERS}, {_counted(G.TOPICS, 'topics')} SELECT doc_id, coalesce(array_to_string(topics[:4], '|'), '') AS topics FROM papers LEFT JOIN topics USING (doc_id)")
 def doc_topics(spark, sf_dir):
-    return C.papers(spark, sf_dir).select("doc_id", joined(G.topics(F.col("text"))).alias("topics"))
+    papers = C.papers(spark, sf_dir).withColumn("low", G.lowered(F.col("text")))
+    return papers.select("doc_id", joined(G.topics(F.col("text"), low=F.col("low"))).alias("topics"))
 
 
 @query("doc_party", f"WITH {C.PAPERS}, {_counted(G.PARTIES, 'parties')} SELECT doc_id, parties[1] AS party FROM papers LEFT JOIN parties USING (doc_id)")

@@ -8,16 +8,15 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from orevein.functions import judges as J
-from orevein.functions import text as T
 from orevein.functions.models import hashed_embedding
-from orevein.operators import caches, memory, search
+from orevein.operators import answer, caches, memory, search
 from orevein.plans import composed as C
 from orevein.plans import retrieval
 from orevein.plans import sqltext as S
 from orevein.plans.indexes import chunk_index
 from orevein.plans.search_queries import vectors
 from orevein.registry import query
-from orevein.session import load, materialize
+from orevein.session import load
 from orevein.streaming import speculation
 
 lit = S.literal
@@ -64,18 +63,29 @@ def listing_page(spark, sf_dir):
     return search.page(load(spark, sf_dir, "documents").select("doc_id", "source"), ["source", "doc_id"], 25, 50)
 
 
-# --- questions over the chunk index: about the people of the profiles, small talk, values, and the benchmark's passages
-FIELDS = [("What are the assets of", "Assets declaration"), ("When was", "Born"), ("Which languages does", "Languages"), ("What is the education of", "Education")]
+# --- questions to records, and over the chunk index
+ASKED = [("What are the assets of ", ""), ("When was ", " born"), ("Which languages are known to ", ""), ("What is the education of ", "")]
 
 
-def _people_asked(spark, sf_dir):
-    rows = C.people(spark, sf_dir)
-    name = F.concat_ws(" ", "title", "given", "family")
-    return rows.select((F.col("key") + 2000).alias("query_id"), F.concat(C.pick([q for q, _ in FIELDS], F.col("key")), F.lit(" "), name, F.lit("?")).alias("text"), name.alias("name"), "key")
+@query(
+    "record_answers",
+    f"""WITH {C.PROFILES}, n AS (SELECT *, title || ' ' || given || ' ' || family AS name FROM profiles)
+SELECT key AS query_id, CASE WHEN key % 5 = 0 THEN 'I don''t have a profile for Tom Hart in the documents.' ELSE name || CASE key % 4
+  WHEN 0 THEN ' has declared movable assets Rs. ' || movable || ' lakh, immovable assets Rs. ' || immovable || ' crore, liabilities Rs. ' || liabilities || ' lakh.'
+  WHEN 1 THEN ' was born on ' || born || ', in ' || place || '.' WHEN 2 THEN ' speaks Telugu, ' || given || 'ish.' ELSE '''s education: Degree of ' || seat || ' college.' END || ' [1]' END AS answer FROM n""",
+)
+def record_answers(spark, sf_dir):
+    """What each record answers to a question about one of its fields; every fifth question is about somebody else."""
+    rows = C.profiles(spark, sf_dir)
+    name, k = F.concat_ws(" ", "title", "given", "family"), F.col("key")
+    question = F.concat(C.pick([q for q, _ in ASKED], k), name, C.pick([q for _, q in ASKED], k))
+    person = F.when(k % 5 == 0, "Tom Hart").otherwise(F.concat_ws(" ", "given", "family"))
+    asked = rows.select(k.alias("query_id"), F.lit(1).alias("position"), question.alias("question"), person.alias("person"), F.col("record").alias("chunk_text"), F.lit(True).alias("is_record"), name.alias("record_name"), name.alias("record_title"))
+    return answer.extractive(asked)
 
 
 def _questions(spark, sf_dir):
-    """Every benchmark passage as a question, and one about each of the first people of each nation."""
+    """Every benchmark passage and every user turn as a question."""
     items = load(spark, sf_dir, "benchmark").select((F.col("item_id") + 1_000_000_000).alias("query_id"), "text")
     turns = C.utterances(spark, sf_dir).filter("role = 'user'").select((F.col("id") + 2_000_000_000).alias("query_id"), "text")
     return items.unionByName(turns)

@@ -174,8 +174,7 @@ def cache_namespace(spark, sf_dir):
     return keyed.select("id", F.col("key").isNotNull().alias("keyed"), (F.col("key") == "_").alias("none"), F.count(F.lit(1)).over(Window.partitionBy("conv_id", "key")).alias("sharing"))
 
 
-# --- values named in questions: kinds in the order of their strength, weaker ones looked for beside the stronger
-_MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
+# --- values and people named in questions
 
 
 @query("extract_literals")
