@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from orevein.llm import words
 from orevein.llm.components import connected_components
+from orevein.operators.joins import small
 from orevein.session import discard, materialize
 
 SIGNATURE = 64
@@ -193,8 +194,8 @@ def _in_groups(keys: list[str], pairs_of: Callable[[pa.Table], list[tuple[int, i
 
 def _forests(shared: DataFrame, grams: DataFrame) -> DataFrame:
     """First pass: distinct pairs ``a < b`` with like signatures."""
-    hot = shared.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK)
-    dealt = shared.join(hot, "bucket", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("n") / BLOCK), F.lit(1)).cast("int"))
+    hot = materialize(shared.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK), "hot")  # one of BLOCK rows at most
+    dealt = shared.join(small(hot), "bucket", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("n") / BLOCK), F.lit(1)).cast("int"))
     turn = F.explode(F.when(F.col("blocks") > 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("turn")
     rows = dealt.select("bucket", "item", "blocks", turn).select("bucket", "item", "turn", F.pmod(F.xxhash64("item", "bucket", "turn"), F.col("blocks")).cast("int").alias("block"))
     keys = ["bucket", "turn", "block"]
