@@ -8,20 +8,23 @@ starts that share one minimiser, and only pieces with the same minimiser can hol
 2. Equal pieces are folded: of all occurrences of a piece but the first, every string starts earlier.
 3. Different pieces of one minimiser are compared by column-wise construction: the collection's
    Burrows-Wheeler transform and common prefixes grow by one symbol of every piece a round, right to left,
-   each round reading the two files of the round before in sequence and writing the next. Intervals of
-   common prefixes of ``LENGTH`` or more are groups of equal strings; the one that starts first stays.
-   Up to ``HOT`` different pieces of a minimiser (3 MB, some ten seconds) are one task's. Minimisers with
+   each round reading the two files of the round before in sequence and writing the next. Each string holds
+   the whole minimiser, so that is one symbol, ``MARK``, and a string has ``FOLDED`` symbols. Intervals of
+   common prefixes of that many or more, by the bytes of the minimiser, are groups of equal strings; the one
+   that starts first stays.
+   Up to ``HOT`` different pieces of a minimiser (2 MB, about two seconds) are one task's. Minimisers with
    more (the edges of a passage that very many documents share) are split by string: their strings are
    grouped by a hash of 128 bits, combined before the shuffle.
 4. Each document gets its intervals, and what they leave is hashed.
 
 Building one transform over whole documents this way would take as many rounds as the longest has bytes,
-each passing over all that was inserted: pieces bound the rounds by ``LENGTH + LENGTH - K``.
+each passing over all that was inserted: folded pieces bound the rounds by ``2 * FOLDED - 1``.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 import tempfile
 from collections.abc import Iterator
@@ -40,6 +43,9 @@ K = 48
 HOT = 20_000
 COLLECTION = 1 << 17
 CHUNK = 1 << 19
+ROWS = 1024
+MARK = 254  # no byte of UTF-8
+FOLDED = LENGTH - K + 1
 _WINDOW = LENGTH - K + 1
 _PLACE = np.uint64((1 << 21) - 1)
 
@@ -106,18 +112,29 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _flat(lists: pa.ListArray, *names: str) -> tuple[np.ndarray, ...]:
+    """Offsets of the lists (null: empty), and the named fields of all their entries."""
+    offsets = np.append(0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy().astype(np.int64)))
+    entries = lists.flatten()
+    return offsets, *(entries.field(name).to_numpy().astype(np.int64) for name in names)
+
+
+def _binary(raw: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the wanted pieces of each text."""
     for batch in batches:
-        for num, text, wanted in zip(batch.column("num").to_pylist(), batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
-            raw = text.encode()
+        offsets, key, at, count = _flat(batch.column("wanted"), "key", "at", "count")
+        of = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+        raw, ends = words.buffers(batch.column("text"))
+        for low in range(0, len(of), ROWS):
+            part = slice(low, low + ROWS)
+            size = count[part] + LENGTH - 1
+            cut = raw[words.ragged(ends[of[part]] + at[part], size)]
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([w["key"] for w in wanted], pa.int64()),
-                    pa.array([num] * len(wanted), pa.int64()),
-                    pa.array([w["at"] for w in wanted], pa.int32()),
-                    pa.array([raw[w["at"] : w["at"] + w["count"] + LENGTH - 1] for w in wanted], pa.binary()),
-                ],
+                [pa.array(key[part]), batch.column("num").take(pa.array(of[part])), pa.array(at[part].astype(np.int32)), _binary(cut, np.append(0, np.cumsum(size)))],
                 names=["key", "num", "at", "bytes"],
             )
 
@@ -209,8 +226,11 @@ def column_wise(raw: np.ndarray, ends: np.ndarray, folder: str) -> tuple[np.ndar
     return out
 
 
-def repeated_starts(raw: np.ndarray, ends: np.ndarray, num: np.ndarray, at: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """Text and place of the strings of ``length`` bytes in the collection that start earlier in it too; string ``i`` stands at ``at[i]`` of text ``num[i]``."""
+def repeated_starts(raw: np.ndarray, ends: np.ndarray, num: np.ndarray, at: np.ndarray, length: int = LENGTH, kind: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Text and place of the strings of ``length`` symbols in the collection that start earlier in it too; string ``i`` stands at ``at[i]`` of text ``num[i]``.
+
+    Strings of members of different ``kind`` count as different.
+    """
     with tempfile.TemporaryDirectory() as folder:
         bwt, lcp = column_wise(raw, ends, folder)
     m, sizes = len(ends) - 1, np.diff(ends)
@@ -229,11 +249,15 @@ def repeated_starts(raw: np.ndarray, ends: np.ndarray, num: np.ndarray, at: np.n
         return num[:0], at[:0]
     spot, owner, offset = map(np.concatenate, (spots, owners, offsets))
     in_order = np.argsort(spot)
-    spot, text, start = spot[in_order], num[owner[in_order]], (at[owner] + offset)[in_order]
-    group = np.cumsum(lcp[spot] < length)
-    by = np.lexsort((start, text, group))
+    new = lcp[spot[in_order]] < length
+    several = ~(new & np.append(new[1:], True))
+    group, in_order = np.cumsum(new)[several], in_order[several]
+    owner = owner[in_order]
+    text, start, kind = num[owner], at[owner] + offset[in_order], np.zeros(len(owner), np.int64) if kind is None else kind[owner]
+    by = np.lexsort((start, text, kind, group))
+    group, kind = group[by], kind[by]
     later = np.zeros(len(by), bool)
-    later[1:] = group[by][1:] == group[by][:-1]
+    later[1:] = (group[1:] == group[:-1]) & (kind[1:] == kind[:-1])
     return text[by][later], start[by][later]
 
 
@@ -247,17 +271,40 @@ def _intervals(text: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(text[first].astype(np.int64)), pa.array(start[first].astype(np.int32)), pa.array((start[last] + 1).astype(np.int32))], names=["num", "low", "high"])
 
 
+def _folded(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The pieces with their minimiser as one symbol, and its bytes.
+
+    It is the first gram of a piece with the hash ``key``: one further left would be the minimiser of the piece's first string.
+    """
+    raw, ends = words.buffers(batch.column("bytes"))
+    place = np.arange(len(raw) - K + 1)
+    grams = words.span_hashes(raw, place, place + K, lower=False)
+    of = np.repeat(np.arange(batch.num_rows), np.diff(ends))[: len(place)]
+    hits = np.flatnonzero(grams == batch.column("key").to_numpy().view(np.uint64)[of])
+    found, first = np.unique(of[hits], return_index=True)
+    middle = hits[first]
+    if len(found) != batch.num_rows or np.any(middle + K > ends[1:]):
+        raise ValueError("a piece without its minimiser")
+    gram = raw[middle[:, None] + np.arange(K)]
+    symbols = raw.copy()
+    symbols[middle] = MARK
+    stay = np.ones(len(raw), bool)
+    stay[middle[:, None] + np.arange(1, K)] = False
+    folded = _binary(symbols[stay], ends - (K - 1) * np.arange(len(ends)))
+    minimiser = pa.Array.from_buffers(pa.binary(K), batch.num_rows, [None, pa.py_buffer(gram.tobytes())])
+    return pa.RecordBatch.from_arrays([batch.column("key"), batch.column("num"), batch.column("at"), folded, minimiser], names=["key", "num", "at", "bytes", "gram"])
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Collections of about ``COLLECTION`` bytes, cut between minimisers, of batches sorted by minimiser."""
     held, size = [], 0
 
     def run(table: pa.Table) -> pa.RecordBatch:
         raw, ends = words.buffers(table["bytes"].combine_chunks())
-        return _intervals(*repeated_starts(raw, ends, table["num"].to_numpy(), table["at"].to_numpy().astype(np.int64)))
+        kind = table["gram"].combine_chunks().dictionary_encode().indices.to_numpy()
+        return _intervals(*repeated_starts(raw, ends, table["num"].to_numpy(), table["at"].to_numpy().astype(np.int64), FOLDED, kind))
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in (_folded(b.slice(low, ROWS)) for b in batches for low in range(0, b.num_rows, ROWS)):
         held.append(batch)
         size += batch.column("bytes").nbytes
         if size >= COLLECTION:
@@ -287,23 +334,32 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = []
-        for text, intervals in zip(batch.column("text").to_pylist(), batch.column("intervals").to_pylist(), strict=True):
-            raw = np.frombuffer((text or "").encode(), np.uint8)
-            gone = removed_bytes(len(raw), intervals or [])
-            edges = np.diff(np.concatenate([[0], gone.view(np.int8)]))
-            out.append((len(raw), int(gone.sum()), int((edges == 1).sum()), hashlib.sha256(raw[~gone].tobytes()).hexdigest()))
-        n, removed, spans, sha = zip(*out, strict=True) if out else ((), (), (), ())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        offsets, low, high = _flat(batch.column("intervals"), "low", "high")
+        of = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+        for first, last, raw, ends in words.slices(batch.column("text"), CHUNK):
+            part = slice(offsets[first], offsets[last])
+            shift = ends[of[part] - first]
+            gone = removed_bytes(len(raw), low[part] + shift, high[part] + shift)
+            begins = gone.copy()
+            begins[1:] &= ~gone[:-1]
+            text_starts = ends[:-1][ends[:-1] < len(raw)]
+            begins[text_starts] = gone[text_starts]
+            removed, spans = words.sums(gone.astype(np.int64), ends), words.sums(begins.astype(np.int64), ends)
+            rest = raw[~gone]
+            cuts = ends - np.append(0, np.cumsum(removed))
+            sha = [hashlib.sha256(rest[x:y]).hexdigest() for x, y in itertools.pairwise(cuts.tolist())]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").slice(first, last - first), pa.array(np.diff(ends)), pa.array(removed), pa.array(spans), pa.array(sha, pa.string())],
+                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+            )
 
 
-def removed_bytes(n: int, intervals: list) -> np.ndarray:
+def removed_bytes(n: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """Which of ``n`` bytes are covered by strings that start in the intervals ``[low, high)``."""
-    change = np.zeros(n + 1, np.int64)
-    for x in intervals:
-        change[x["low"]] += 1
-        change[x["high"] + LENGTH - 1] -= 1
-    return np.cumsum(change[:n]) > 0
+    change = np.zeros(n + 1, np.int32)
+    np.add.at(change, low, 1)
+    np.add.at(change, high + LENGTH - 1, -1)
+    return np.cumsum(change[:n], dtype=np.int32) > 0
 
 
 def removal_intervals(rows: DataFrame) -> DataFrame:

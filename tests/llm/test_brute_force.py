@@ -286,6 +286,37 @@ def test_collection_without_repeats_gives_no_intervals():
     assert suffix_dedup._intervals(text, start).num_rows == 0
 
 
+def test_pieces_are_compared_with_their_minimiser_as_one_symbol(monkeypatch):
+    """The transform takes 105 rounds at most, for whole pieces 152, and finds the repeats that plain Python finds among the pieces."""
+    lengths, inner = [], suffix_dedup.column_wise
+    monkeypatch.setattr(suffix_dedup, "column_wise", lambda raw, ends, folder: lengths.extend(np.diff(ends)) or inner(raw, ends, folder))
+    monkeypatch.setattr(suffix_dedup, "COLLECTION", 5000)
+    monkeypatch.setattr(suffix_dedup, "ROWS", 7, raising=False)
+    base = prose(50, 200)
+    texts = [edited(base, 60 + i, 0.1) for i in range(12)] + ["é😀" * 90, "xy" * 120, "x" * 150, "é😀" * 40 + "xy" * 80, base.upper(), base]
+    docs = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["num", "text"])
+    found = pa.Table.from_batches(suffix_dedup._occurrences(iter([docs]))).to_pylist()
+    rows = [(r["key"], r["num"], r["at"], texts[r["num"]].encode()[r["at"] : r["at"] + r["count"] + 99]) for r in sorted(found, key=lambda r: (r["key"], r["num"]))]
+    assert max(len(r[3]) for r in rows) > 130
+    batch = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["key", "num", "at", "bytes"])
+    out = [x for b in suffix_dedup._compare(iter([batch])) for x in b.to_pylist()]
+    strings = defaultdict(list)
+    for _, num, at, data in rows:
+        for k in range(len(data) - 99):
+            strings[data[k : k + 100]].append((num, at + k))
+    assert sorted((x["num"], k) for x in out for k in range(x["low"], x["high"])) == sorted(place for places in strings.values() for place in sorted(places)[1:])
+    assert max(lengths) <= 105
+
+
+def test_equal_surroundings_of_different_minimisers_are_not_equal():
+    left, right, grams = b"l" * 52, b"r" * 52, [b"a" * 48, b"b" * 48, b"a" * 48]
+    mark = bytes([suffix_dedup.MARK])
+    raw, ends = words.buffers(pa.array([left + mark + right] * 3, pa.binary()))
+    kind = pa.array(grams).dictionary_encode().indices.to_numpy()
+    text, start = suffix_dedup.repeated_starts(raw, ends, np.array([1, 2, 3]), np.zeros(3, np.int64), suffix_dedup.FOLDED, kind)
+    assert sorted(zip(text.tolist(), start.tolist(), strict=True)) == [(3, k) for k in range(53)]
+
+
 def test_embedding_links_of_doubles_and_text_labels(spark):
     rng = np.random.default_rng(8)
     base = rng.standard_normal((6, 24))
