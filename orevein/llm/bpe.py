@@ -1,11 +1,13 @@
 """Byte-pair encoding and decoding with a pair occurrence index.
 
-The distinct words of a batch that the task hasn't met are laid out as one row of symbols. An index
-maps each mergeable pair to all its positions there; ranks with positions wait in a heap and are
-applied in ascending order, left to right, and each merge drops the pairs it breaks (they fail a check
-when their turn comes) and enters the new ones in their lists. Merging a pair can only make pairs of
-higher rank in a trained vocabulary; should a lower one appear, it goes back on the heap and comes next.
-Encoded words are kept in a cache of bounded size; a text is the concatenation of its words.
+The distinct words of a batch that the task hasn't met are laid out as one row of symbols, with an
+index of all occurrences of mergeable pairs in it. In each word ranks are applied in ascending order,
+all places of a pair left to right, and each merge drops the entries of the pairs it breaks and enters
+the new ones. Merging a pair can only make pairs of higher rank in a trained vocabulary; should a lower
+one appear, it comes next. Words of up to ``WAVE_BYTES`` bytes go together, all by one rank a wave, with the index as
+an array by place; for longer ones it maps each pair to its places, and ranks with places wait in a heap,
+so that no word is read once a rank. Encoded words are kept in a cache of bounded size, the older half of
+which is dropped when it is full; a text is the concatenation of its words.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from orevein.session import load
 
 VOCABULARY = "word_bpe_49k.json"
 CACHE_WORDS = 200_000
+WAVE_BYTES = 64
+NONE = np.iinfo(np.int32).max
 
 
 def _byte_letters() -> list[str]:
@@ -51,16 +55,18 @@ class WordBpe:
         for rank, (a, b, _) in enumerate(self.parts):
             self.rank_of.setdefault((a << 16) | b, rank)
         keys = np.array(sorted(self.rank_of), np.int64)
-        self.pair_keys, self.pair_ranks = keys, np.array([self.rank_of[k] for k in keys.tolist()])
+        self.pair_keys, self.pair_ranks = keys, np.array([self.rank_of[k] for k in keys.tolist()], np.int32)
+        self.merged = np.array([m for _, _, m in self.parts], np.int32)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(split["pattern"]["Regex"])
         self.marks = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         letters = _byte_letters()
-        self.inner = np.array([self.vocab[x] for x in letters], np.int64)
-        self.final = np.array([self.vocab[x + self.suffix] for x in letters], np.int64)
+        self.inner = np.array([self.vocab[x] for x in letters], np.int32)
+        self.final = np.array([self.vocab[x + self.suffix] for x in letters], np.int32)
         self.cache: dict[str, tuple[bytes, str]] = {}
+        self.older: dict[str, tuple[bytes, str]] = {}
 
     def split(self, text: str) -> list[str]:
         """The words of a text, special tokens as they stand."""
@@ -77,23 +83,69 @@ class WordBpe:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # a sigma's lower case doesn't depend on its place here
         return self.words.findall(text.lower())
 
-    def merge_all(self, words: list[str]) -> list[list[int]]:
-        """Token ids of each word."""
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair of symbols, ``NONE`` for pairs that don't merge."""
+        keys = (left.astype(np.int64) << 16) | right
+        found = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[found] == keys, self.pair_ranks[found], NONE)
+
+    def merge_all(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all words in a row, and the ``len(words) + 1`` bounds of the words among them."""
         raw = [w.encode() for w in words]
+        sizes = np.array([len(r) for r in raw], np.int64)
         joined = np.frombuffer(b"".join(raw), np.uint8)
-        n = len(joined)
-        if n == 0:
-            return [[] for _ in words]
-        ends = np.cumsum([len(r) for r in raw])
-        first = np.concatenate([[0], ends[:-1]])
-        start = self.inner[joined]
-        start[ends - 1] = self.final[joined[ends - 1]]
-        keys = (start[:-1] << 16) | start[1:]
-        found = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
-        inside = np.ones(n - 1, bool)
-        inside[ends[:-1] - 1] = False
-        at = np.flatnonzero((self.pair_keys[found] == keys) & inside)
-        ranks = self.pair_ranks[found[at]]
+        ends = np.cumsum(sizes)
+        symbols, final = self.inner[joined], np.zeros(len(joined), bool)
+        symbols[ends - 1] = self.final[joined[ends - 1]]
+        final[ends - 1] = True
+        long = np.repeat(sizes > WAVE_BYTES, sizes)
+        for part, merge in ((~long, self._in_waves), (long, self._by_lists)):
+            if part.any():
+                symbols[part] = merge(symbols[part], final[part])
+        kept = symbols >= 0
+        upto = np.concatenate([[0], np.cumsum(kept)])
+        return symbols[kept], upto[np.concatenate([[0], ends])]
+
+    def _in_waves(self, symbols: np.ndarray, final: np.ndarray) -> np.ndarray:
+        """The merged symbols at their first places, -1 elsewhere; ``final`` marks the last symbol of each word.
+
+        The index holds the rank of the pair that starts at each place. A wave takes the lowest of each
+        word and applies it wherever the word has it, left to right; places are looked up anew only
+        beside a merge, and words without an entry left drop out.
+        """
+        out = np.full(len(symbols), -1, symbols.dtype)
+        at, index = np.arange(len(symbols)), np.full(len(symbols), NONE, np.int32)
+        index[:-1] = self._ranks(symbols[:-1], symbols[1:])
+        index[final] = NONE
+        while len(symbols):
+            last = np.flatnonzero(final)
+            first = np.concatenate([[0], last[:-1] + 1])
+            lowest = np.repeat(np.minimum.reduceat(index, first), last - first + 1)
+            live = lowest != NONE
+            out[at[~live]] = symbols[~live]
+            hits = np.flatnonzero((index == lowest) & live)
+            gaps = np.diff(hits, prepend=-2)
+            if (gaps == 1).any():  # a symbol paired with itself: every other place of a run
+                places = np.arange(len(hits))
+                hits = hits[(places - np.maximum.accumulate(np.where(gaps > 1, places, 0))) % 2 == 0]
+            symbols[hits] = self.merged[index[hits]]
+            final[hits] = final[hits + 1]
+            live[hits + 1] = False
+            fresh = np.cumsum(live)[hits] - 1
+            symbols, final, at, index = symbols[live], final[live], at[live], index[live]
+            fresh = np.concatenate([fresh, fresh[fresh > 0] - 1])
+            index[fresh] = NONE
+            fresh = fresh[~final[fresh]]
+            index[fresh] = self._ranks(symbols[fresh], symbols[fresh + 1])
+        return out
+
+    def _by_lists(self, symbols: np.ndarray, final: np.ndarray) -> np.ndarray:
+        """As :meth:`_in_waves`, with a list of places for each pair and a heap of ranks: a word costs in proportion to its length, however long."""
+        n = len(symbols)
+        ranks = self._ranks(symbols[:-1], symbols[1:])
+        ranks[final[:-1]] = NONE
+        at = np.flatnonzero(ranks != NONE)
+        ranks = ranks[at]
         order = np.argsort(ranks, kind="stable")
         at, ranks = at[order], ranks[order]
         active, cuts = np.unique(ranks, return_index=True)
@@ -101,8 +153,9 @@ class WordBpe:
         active = active.tolist()  # sorted, so it is a heap
 
         right, left = np.arange(1, n + 1), np.arange(-1, n - 1)
-        right[ends - 1], left[first] = n, -1
-        symbols, right, left = [*start.tolist(), -2], right.tolist(), left.tolist()
+        last = np.flatnonzero(final)
+        right[last], left[0], left[last[:-1] + 1] = n, -1, -1
+        symbols, right, left = [*symbols.tolist(), -2], right.tolist(), left.tolist()
         rank_of, parts = self.rank_of.get, self.parts
         while active:
             rank = heapq.heappop(active)
@@ -135,24 +188,25 @@ class WordBpe:
                         else:
                             where[new] = [before]
                             heapq.heappush(active, new)
-        left_over = np.array(symbols[:-1])
-        kept = left_over >= 0
-        upto = np.concatenate([[0], np.cumsum(kept)])
-        ids = left_over[kept].tolist()
-        return [ids[s:e] for s, e in zip(upto[first].tolist(), upto[ends].tolist(), strict=True)]
+        return np.array(symbols[:-1])
 
     def learn(self, words: Iterable[str]) -> None:
         new = list(words)
-        for word, ids in zip(new, self.merge_all(new), strict=True):
-            self.cache[word] = (np.array(ids, "<u4").tobytes(), " ".join([self.names[i] for i in ids]))
+        ids, bounds = self.merge_all(new)
+        raw, names, bounds = ids.astype("<u4").tobytes(), [self.names[i] for i in ids.tolist()], bounds.tolist()
+        for word, a, b in zip(new, bounds, bounds[1:], strict=False):
+            self.cache[word] = (raw[4 * a : 4 * b], " ".join(names[a:b]))
 
     def encode(self, texts: list[str | None]) -> list[list[tuple[bytes, str]]]:
         """For each text its words' ids (as bytes) and decoded forms."""
         split = [self.split(t) if t else [] for t in texts]
-        new = {w for ws in split for w in ws if w not in self.cache}
-        if len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache.clear()
-            new = {w for ws in split for w in ws}
+        needed = set().union(*split)
+        new = needed.difference(self.cache)
+        if len(self.cache) + len(new) > CACHE_WORDS // 2:
+            self.older, self.cache, new = self.cache, {}, needed
+        known = [w for w in new if w in self.older]
+        self.cache.update((w, self.older[w]) for w in known)
+        new = new.difference(known)
         specials = new & self.special.keys()
         self.learn(new - specials)
         for s in specials:

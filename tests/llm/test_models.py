@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import json
+import random
+import sys
 import zlib
 from collections import Counter
 
@@ -37,6 +40,63 @@ def test_bpe_is_the_library(spark):
     assert all(r.decoded == library.decode(list(r.ids), skip_special_tokens=False) for r in tokens.collect())
 
 
+def _bpe_words() -> list[str]:
+    rng = random.Random(5)
+    letters = ["ab", "en", "th", "er", "ing", "a", "é", "ß", "日", "ж", "🎉", "!", "-"]
+    return ["".join(rng.choice(letters) for _ in range(rng.randint(1, 20))) for _ in range(3000)]
+
+
+def test_bpe_of_words_of_any_length_is_the_library():
+    tokenizers = pytest.importorskip("tokenizers")
+    library = tokenizers.Tokenizer.from_file(bpe.default_path())
+    edge = [c * n for c in "aeé日!🎉" for n in (1, 2, 3, 4, 5, 31, 32, 33, 63, 64, 65, 66, 1000)]
+    rng = random.Random(6)
+    long = ["".join(rng.choice("etaoinshrdlu") for _ in range(n)) for n in (64, 65, 500, 120_000)]
+    texts = [*_bpe_words(), *edge, *long, " ".join(edge), "", None, "<|endoftext|>"]
+    with open(bpe.default_path(), encoding="utf-8") as f:
+        model = bpe.WordBpe(json.load(f))
+    for text, words in zip(texts, model.encode(texts), strict=True):
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        assert np.frombuffer(b"".join([w[0] for w in words]), "<u4").tolist() == ids
+        assert " ".join([w[1] for w in words]) == library.decode(ids, skip_special_tokens=False)
+
+
+def test_bpe_takes_few_python_steps_for_a_new_word():
+    with open(bpe.default_path(), encoding="utf-8") as f:
+        model = bpe.WordBpe(json.load(f))
+    new = sorted({w for text in _bpe_words() for w in model.split(text)})
+    lines = 0
+
+    def count(frame, event, arg):
+        nonlocal lines
+        if not frame.f_code.co_filename.endswith("bpe.py"):
+            return None
+        lines += event == "line"
+        return count
+
+    sys.settrace(count)
+    try:
+        model.learn(new)
+    finally:
+        sys.settrace(None)
+    assert len(new) > 2000 and lines < 10 * len(new)
+
+
+def test_bpe_cache_keeps_what_was_used_last(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 40)
+    with open(bpe.default_path(), encoding="utf-8") as f:
+        model = bpe.WordBpe(json.load(f))
+    learnt, learn = Counter(), model.learn
+    monkeypatch.setattr(model, "learn", lambda words: learn([learnt.update([w]) or w for w in words]))
+    often = "the of and"
+    for k in range(100):
+        rare = " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{c}" for c in "qxzvw")
+        words = model.encode([f"{often} {rare}"])[0]
+        assert [w[1].replace("</w>", "").replace(" ", "") for w in words] == f"{often} {rare}".split(" ")
+        assert len(model.cache) + len(getattr(model, "older", ())) <= 40
+    assert all(learnt[w] == 1 for w in often.split(" "))
+
+
 def test_language_id(spark, sf_dir):
     docs = load(spark, sf_dir, "documents")
     truth = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
