@@ -4,10 +4,10 @@ The distinct words of a batch that the task hasn't met are laid out as one row o
 index of all occurrences of mergeable pairs in it. In each word ranks are applied in ascending order,
 all places of a pair left to right, and each merge drops the entries of the pairs it breaks and enters
 the new ones. Merging a pair can only make pairs of higher rank in a trained vocabulary; should a lower
-one appear, it comes next. Words of up to ``WAVE_BYTES`` bytes go together, all by one rank a wave, with the index as
-an array by place; for longer ones it maps each pair to its places, and ranks with places wait in a heap,
-so that no word is read once a rank. Encoded words are kept in a cache of bounded size, the older half of
-which is dropped when it is full; a text is the concatenation of its words.
+one appear, it comes next. Words of up to ``WAVE_BYTES`` bytes go together, all by one rank a wave, with
+the index as an array by place; for longer ones it maps each pair to its places, and ranks with places
+wait in a heap, so that no word is read once a rank. Encoded words are kept in a cache of bounded size,
+the older half of which is dropped when it is full; a text is the concatenation of its words.
 """
 
 from __future__ import annotations
