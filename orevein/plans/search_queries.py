@@ -50,15 +50,13 @@ def bm25_corpus_stats(spark, sf_dir):
 
 @query("bm25_topk", f"WITH {S.bm25()} SELECT query_id, id, rank, round(score, 6) AS score FROM {S.top('(SELECT query_id, id, round(score, 9) AS score FROM bm25)', 30)}")
 def bm25_topk(spark, sf_dir):
-    scores = rounded(search.bm25_scores(text_index(spark, sf_dir), asked(spark, sf_dir)), "score", digits=9)
-    return rounded(search.top_k(scores, K.BRANCH_TOP_K), "score")
+    return rounded(search.bm25_topk(text_index(spark, sf_dir), asked(spark, sf_dir), digits=9), "score")
 
 
 @query("bm25_topk_filtered", f"WITH {S.bm25('''lang = 'en' AND source IN ('src1', 'src2', 'src3')''')} SELECT query_id, id, rank, round(score, 6) AS score FROM {S.top('(SELECT query_id, id, round(score, 9) AS score FROM bm25)', 30)}")
 def bm25_topk_filtered(spark, sf_dir):
     allowed = load(spark, sf_dir, "documents").filter((F.col("lang") == "en") & F.col("source").isin("src1", "src2", "src3")).select(F.col("doc_id").alias("id"))
-    scores = rounded(search.bm25_scores(text_index(spark, sf_dir), asked(spark, sf_dir), allowed), "score", digits=9)
-    return rounded(search.top_k(scores, K.BRANCH_TOP_K), "score")
+    return rounded(search.bm25_topk(text_index(spark, sf_dir), asked(spark, sf_dir), allowed=allowed, digits=9), "score")
 
 
 @query("dense_topk", f"WITH {S.DENSE} SELECT query_id, id, rank, round(score, 6) AS score FROM {S.top('dense', 30)}")
@@ -87,7 +85,7 @@ def candidate_threshold(spark, sf_dir):
 
 
 def _branches(spark, sf_dir) -> DataFrame:
-    sparse = search.top_k(rounded(search.bm25_scores(text_index(spark, sf_dir), asked(spark, sf_dir)), "score", digits=9), K.BRANCH_TOP_K)
+    sparse = search.bm25_topk(text_index(spark, sf_dir), asked(spark, sf_dir), digits=9)
     dense = search.dense_topk(vectors(spark, sf_dir), query_vectors(spark, sf_dir))
     return fusion.branch(dense, "dense", K.DENSE_WEIGHT).unionByName(fusion.branch(sparse, "bm25", K.SPARSE_WEIGHT))
 
@@ -179,11 +177,10 @@ h AS (SELECT query_id, id, score, false AS relaxed FROM o WHERE fits UNION ALL S
 SELECT query_id, id, rank, relaxed FROM {S.top("h", 5)}""",
 )
 def filter_relaxation(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source")
-    queries = asked(spark, sf_dir)
-    scores = rounded(search.bm25_scores(text_index(spark, sf_dir), queries), "score", digits=9).join(docs, "id")
-    fits = F.col("source") == F.concat(F.lit("src"), (F.col("query_id") % 40).cast("string"))
-    both = search.relax(search.top_k(scores.filter(fits), K.TOP_K), search.top_k(scores, K.TOP_K), queries)
+    sources = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("key"))
+    index, queries = text_index(spark, sf_dir), asked(spark, sf_dir)
+    own = queries.withColumn("keys", F.array(F.concat(F.lit("src"), (F.col("query_id") % 40).cast("string"))))
+    both = search.relax(search.bm25_topk(index, own, K.TOP_K, keys=sources, digits=9), search.bm25_topk(index, queries, K.TOP_K, digits=9), queries)
     return both.select("query_id", "id", "rank", "relaxed")
 
 

@@ -56,3 +56,41 @@ def test_records_of_a_long_text_in_time_with_its_length():
     found = C.split_records("".join(record.format(i) for i in range(20_000)))
     assert len(found) == 20_000 and all(len(r["labels"]) == 3 for r in found)
     assert time.perf_counter() - began < 20  # some 100,000 lines; counting labels once a line took minutes
+
+
+def _ranked(rows):
+    return sorted((r.query_id, r["rank"], r.id, round(r.score, 8)) for r in rows)
+
+
+def test_best_by_terms_in_small_blocks_equal_all_scores(spark, monkeypatch):
+    """Weights in blocks, buffers cut back often, documents over batches; with keys and without."""
+    from orevein.operators import search
+    from orevein.operators.text_index import TextIndex
+
+    rng = random.Random(8)
+    words = [f"w{i}x" for i in range(12)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(words, k=rng.randrange(9)))) for i in range(400)], "id long, text string")
+    queries = spark.createDataFrame([(i, rng.choices(words, k=4), [f"k{i % 3}", f"k{i % 5}"]) for i in range(60)], "query_id long, terms array<string>, keys array<string>")
+    keys = spark.createDataFrame([(i, f"k{j}") for i in range(400) for j in range(5) if i % (j + 2) == 0], "id long, key string")
+    index = TextIndex.build(docs)
+    every = search.bm25_scores(index, queries).withColumn("score", F.round("score", 9))
+    for name, value in (("WEIGHT_ROWS", 150), ("CELLS", 50), ("BUFFER", 10)):
+        monkeypatch.setattr(search, name, value)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert _ranked(search.bm25_topk(index, queries, 5, digits=9).collect()) == _ranked(search.top_k(every, 5).collect())
+        fits = every.join(keys, "id").join(queries.select("query_id", "keys"), "query_id").filter(F.array_contains("keys", F.col("key"))).select("query_id", "id", "score").distinct()
+        assert _ranked(search.bm25_topk(index, queries, 5, keys=keys, digits=9).collect()) == _ranked(search.top_k(fits, 5).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_pairs_of_a_query_and_a_document_are_not_shuffled(spark):
+    from orevein.operators import search
+    from orevein.operators.text_index import TextIndex
+
+    index = TextIndex.build(spark.createDataFrame([(1, "a road"), (1, "a plan of roads"), (2, ""), (3, None)], "id long, text string"))
+    assert sorted(map(tuple, index.lengths.collect())) == [(1, 3), (2, 0), (3, 0)]
+    assert sorted(map(tuple, index.postings.collect())) == [("plan", 1, 1, 3), ("road", 1, 2, 3)]
+    plan = plan_of(search.bm25_topk(index, spark.createDataFrame([(7, ["road"])], "query_id long, terms array<string>")))
+    assert "MapInArrow" in plan and "HashAggregate" not in plan
