@@ -94,3 +94,16 @@ def test_pairs_of_a_query_and_a_document_are_not_shuffled(spark):
     assert sorted(map(tuple, index.postings.collect())) == [("plan", 1, 1, 3), ("road", 1, 2, 3)]
     plan = plan_of(search.bm25_topk(index, spark.createDataFrame([(7, ["road"])], "query_id long, terms array<string>")))
     assert "MapInArrow" in plan and "HashAggregate" not in plan
+
+
+def test_a_record_is_parsed_once(spark):
+    from orevein.operators import answer
+
+    plan = plan_of(registry.queries()["parse_record"](spark, SF_DIR))
+    assert plan.count("regexp_extract(") == len(answer.RECORD_FIELDS) and "hashpartitioning(c_custkey" in plan
+    assert plan_of(registry.queries()["record_answers"](spark, SF_DIR)).count("RLIKE") < 20
+
+
+def test_letter_cues_need_no_window(spark):
+    plan = plan_of(registry.queries()["letter_cues"](spark, SF_DIR))
+    assert "Window" not in plan and "Exchange" not in plan
